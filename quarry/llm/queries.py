@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe_numpy, token_files
+from quarry.llm import bpe_numpy, langid_zstd, quality_fm, token_files, url_filter
 from quarry.llm.common import new_path, read
 
 
@@ -27,5 +27,38 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_numpy.digests(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op2_byte_bpe": op2_byte_bpe}
+#: (verdict, host and path), as the contract of operator 5 fixes them.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _fold(id_col: str, n: int):
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+def op9_langid_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    contents = langid_zstd.train(docs.where(_fold("doc_id", 4) != 2))
+    return langid_zstd.predict(docs, contents).select("doc_id", (_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op10_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    machine = quality_fm.train(docs, read(spark, sf_dir, "labels").where(_fold("doc_id", 5) != 0))
+    return quality_fm.score(docs, machine).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+
+
+#: From this score on a document counts as good.
+QUALITY_AT = 0.3
+
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_url_filter": op5_url_filter,
+    "op9_langid_zstd": op9_langid_zstd,
+    "op10_quality_fm": op10_quality_fm,
+}
 ORACLES: dict[str, str] = {}
