@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe_numpy, langid_zstd, quality_fm, token_files, url_filter
+from quarry.llm import bpe_numpy, decontaminate, langid_zstd, line_templates, near_dup, quality_fm, token_files, url_filter
 from quarry.llm.common import new_path, read
 
 
@@ -35,6 +35,19 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(read(spark, sf_dir, "documents"))
+
+
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_templates.dedup(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def _fold(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string")) % n
 
@@ -57,7 +70,10 @@ QUALITY_AT = 0.3
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op7_near_dup": op7_near_dup,
+    "op8_line_templates": op8_line_templates,
     "op9_langid_zstd": op9_langid_zstd,
     "op10_quality_fm": op10_quality_fm,
 }
