@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe_numpy, decontaminate, langid_zstd, line_templates, near_dup, quality_fm, token_files, url_filter
+from quarry.llm import bpe_numpy, decontaminate, langid_zstd, line_templates, near_dup, quality_fm, suffix_dedup, token_files, url_filter
 from quarry.llm.common import new_path, read
 
 
@@ -39,6 +39,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut(read(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(read(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dup": op7_near_dup,
     "op8_line_templates": op8_line_templates,
     "op9_langid_zstd": op9_langid_zstd,
