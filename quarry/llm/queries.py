@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe_numpy, decontaminate, langid_zstd, line_templates, near_dup, quality_fm, suffix_dedup, token_files, url_filter
+from quarry.llm import bpe_numpy, decontaminate, langid_zstd, line_templates, near_dup, nn_descent, quality_fm, suffix_dedup, token_files, url_filter
 from quarry.llm.common import new_path, read
 
 
@@ -35,6 +35,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,7 @@ QUALITY_AT = 0.3
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_nn_descent": op3_nn_descent,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_suffix_dedup": op6_suffix_dedup,
