@@ -250,8 +250,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     return docs.select(docs[id_col].alias("id"), whole(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same pass, returning lengths and digests instead of the ids and bytes themselves."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """The same pass, returning lengths and digests of ids and decoded bytes, and with ``with_ids`` the ids."""
 
     def run(batches):
         c = codec(ranks_path, pattern)
@@ -266,10 +266,11 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in back]),
                     pa.array([b == t.encode() for b, t in zip(back, texts, strict=True)]),
+                    *[pa.array(ids, pa.binary())] * with_ids,
                 ],
-                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip", *["ids"] * with_ids],
             )
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), whole(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    out = docs.select(docs[id_col].alias("id"), whole(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids binary" * with_ids)
     return out.withColumnRenamed("id", id_col)

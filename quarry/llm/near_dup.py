@@ -223,11 +223,13 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
-    """(th1, th2, cid, component) of every class of texts that links with another text or is held by several rows."""
+    """(th1, th2, component, reps) of every class of texts that links with another text or is held by several rows."""
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(idf_table(docs, text_col))
     rows = signatures(docs, idf, id_col, text_col)
-    classes = store(rows.groupBy("th1", "th2").agg(F.min("id").alias("cid"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    each = rows.groupBy("th1", "th2", "id").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # reps: rows that repeat the class's least id
+    classes = store(each.groupBy("th1", "th2").agg(F.min("id").alias("cid"), F.sum("n").alias("n"), F.min_by("n", "id").alias("reps"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     drop(rows)
     # different texts may share a class's least id where ids repeat; the least text then stands for the id
     member = classes.select("cid", F.explode("bands").alias("key"))
@@ -261,8 +263,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     more = store(verify(pairs, texts, idf, threshold), "links")
     if more.head(1):
         tied = store(components(edges.unionByName(more)), "components")
-    out = classes.select("th1", "th2", "cid", "n").join(tied.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 or component is not null")
-    return out.select("th1", "th2", F.coalesce("component", "cid").alias("component")), [mates2, texts]
+    out = classes.select("th1", "th2", "cid", "n", "reps").join(tied.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 or component is not null")
+    return out.select("th1", "th2", F.coalesce("component", "cid").alias("component"), "reps"), [mates2, texts]
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,3 +274,21 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id"
     out = store(keyed.join(tied, ["th1", "th2"], "left").select("id", F.coalesce("component", "id").alias("component_id")), "groups")
     drop(*used)
     return out.select(F.col("id").alias(id_col), "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that of its least id; all columns as they came.
+
+    Rows that repeat the kept id and its text count once; rows with the kept id and another text all stay.
+    """
+    tied, used = link(docs, threshold, id_col, text_col)
+    tied = store(tied.withColumnsRenamed({"th1": "__th1", "th2": "__th2", "component": "__component", "reps": "__reps"}), "groups")
+    drop(*used)
+    text, own = F.col(text_col), F.col(id_col)
+    keyed = docs.withColumns({"__th1": F.xxhash64(F.lit(1), text), "__th2": F.xxhash64(F.lit(2), text)})
+    first = F.col("__component").isNull() | own.isNull() | (own.cast("long") == F.col("__component"))
+    out = keyed.join(tied, ["__th1", "__th2"], "left").where(first)
+    if tied.where("__reps > 1").head(1):
+        twice = F.coalesce(F.col("__reps") > 1, F.lit(False)) & own.isNotNull()
+        out = out.where(~twice).unionByName(out.where(twice).dropDuplicates(["__th1", "__th2"]))
+    return out.select(*docs.columns)

@@ -137,6 +137,7 @@ class Machine:
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str, meta: Sequence[str]):
+    meta = [c for c in meta if c in docs.columns]
     return [docs[id_col].alias("id"), whole(text_col).alias("text"), F.array(*[F.log1p(F.greatest(F.coalesce(docs[c].cast("double"), F.lit(0.0)), F.lit(0.0))) / 10 for c in meta] or [F.lit(0.0)]).alias("meta")]
 
 
@@ -167,27 +168,56 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str
     return machine
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", meta: Sequence[str] = ("n_chars",), keep: Sequence[str] = ()) -> DataFrame:
-    """(id, score) of every row, and the columns ``keep`` as they came; narrow, no shuffle."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((machine.w0, machine.w, machine.v))  # 2**BITS * (RANK + 1) floats, whatever the data
-    n_meta = max(1, len(meta))
-    cols = [docs[c].alias(f"k{i}") for i, c in enumerate(keep)]
+def _scorer(machine: Machine):
+    make = Features(len(machine.w) - (1 << BITS) - SHAPES - len(STATS))
+
+    def score_all(texts: list[str], metas: list[list[float]]) -> np.ndarray:
+        scores = np.zeros(len(texts))
+        for k in range(0, len(texts), 512):
+            got = [make(t, v) for t, v in zip(texts[k : k + 512], metas[k : k + 512], strict=True)]
+            ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in got])])
+            z, _ = machine.raw(np.concatenate([i for i, _ in got]), np.concatenate([x for _, x in got]), ptr)
+            scores[k : k + 512] = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
+        return scores
+
+    return score_all
+
+
+def _sent(docs: DataFrame, machine: Machine):
+    """A broadcast of 2**BITS * (RANK + 1) floats, whatever the data; executors rebuild the machine from it."""
+    return docs.sparkSession.sparkContext.broadcast((machine.w0, machine.w, machine.v))
+
+
+def _received(sent) -> Machine:
+    m = Machine.__new__(Machine)
+    m.w0, m.w, m.v = sent.value
+    return m
+
+
+def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", meta: Sequence[str] = ("n_chars",)) -> DataFrame:
+    """(id, score) of every row; narrow, no shuffle."""
+    sent = _sent(docs, machine)
+
+    def run(batches):
+        score_all = _scorer(_received(sent))
+        for batch in batches:
+            scores = score_all(batch.column("text").to_pylist(), batch.column("meta").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], ["id", "score"])
+
+    rows = docs.select(*_columns(docs, id_col, text_col, meta))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
+
+
+def keep(docs: DataFrame, machine: Machine, threshold: float, text_col: str = "text", meta: Sequence[str] = ("n_chars",)) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they came; narrow, no shuffle."""
+    sent, at = _sent(docs, machine), docs.columns.index(text_col)
+    places = [docs.columns.index(c) for c in meta if c in docs.columns]
 
     def run(batches):
-        make, m = Features(n_meta), Machine.__new__(Machine)
-        m.w0, m.w, m.v = sent.value
+        score_all = _scorer(_received(sent))
         for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            texts, metas = batch.column("text").to_pylist(), batch.column("meta").to_pylist()
-            for k in range(0, len(texts), 512):
-                got = [make(t, v) for t, v in zip(texts[k : k + 512], metas[k : k + 512], strict=True)]
-                ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in got])])
-                z, _ = m.raw(np.concatenate([i for i, _ in got]), np.concatenate([x for _, x in got]), ptr)
-                scores[k : k + 512] = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores), *[batch.column(f"k{i}") for i in range(len(keep))]], ["id", "score", *[f"k{i}" for i in range(len(keep))]])
-
-    rows = docs.select(*_columns(docs, id_col, text_col, meta), *cols)
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = rows.mapInArrow(run, ", ".join([f"id {kinds['id']}", "score double", *[f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))]]))
-    return out.select(F.col("id").alias(id_col), "score", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]) if keep else out.withColumnRenamed("id", id_col)
+            values = [np.log1p(np.maximum(np.nan_to_num(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)), 0)) / 10 for c in places] or [np.zeros(batch.num_rows)]
+            scores = score_all([t or "" for t in batch.column(at).to_pylist()], np.stack(values, axis=1).tolist())
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

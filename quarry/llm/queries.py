@@ -9,7 +9,7 @@ from quarry.llm import bpe_numpy, decontaminate, langid_zstd, line_templates, ne
 from quarry.llm.common import new_path, read
 
 
-def _public(name: str) -> str:
+def public(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -17,14 +17,14 @@ def _public(name: str) -> str:
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = new_path(spark, "tokens")
-    manifest = token_files.write(read(spark, sf_dir, "documents"), base, _public("word_bpe_49k.json"), end_id=1).collect()
+    manifest = token_files.write(read(spark, sf_dir, "documents"), base, public("word_bpe_49k.json"), end_id=1).collect()
     return token_files.read_back(spark, base, token_files.starts(manifest))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe_numpy.digests(read(spark, sf_dir, "documents"), _public("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe_numpy.digests(read(spark, sf_dir, "documents"), public("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 #: (verdict, host and path), as the contract of operator 5 fixes them.
