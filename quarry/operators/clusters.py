@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 STRONG, AVERAGE, COHESION, LARGEST = 0.42, 0.18, 0.30, 0.60
 
 
-def agglomerate(members: list, affinity: dict[tuple, float], total: int | None = None) -> list[tuple[list, float]]:
+def agglomerate(members: list, affinity: dict[tuple, float], largest: float = LARGEST) -> list[tuple[list, float]]:
     """(members, mean affinity) of the credible clusters of one group.
 
     The pair of clusters with the greatest mean (then strongest, then reversed member list) merges while its
-    strongest pair reaches STRONG and its mean AVERAGE. Clusters of 2 to max(3, 60 %) members whose mean
+    strongest pair reaches STRONG and its mean AVERAGE. Clusters of 2 to max(3, ``largest`` of all) members whose mean
     affinity reaches COHESION are credible.
     """
 
@@ -41,7 +41,7 @@ def agglomerate(members: list, affinity: dict[tuple, float], total: int | None =
             links[other, k] = (a[0] + b[0], max(a[1], b[1]))
         links = {p: v for p, v in links.items() if not {i, j} & set(p)}
         alive[k] = new
-    most = max(3, int((total or len(members)) * LARGEST))
+    most = max(3, int(len(members) * largest))
     out = []
     for c in sorted(alive.values()):
         if 2 <= len(c) <= most:
@@ -51,7 +51,7 @@ def agglomerate(members: list, affinity: dict[tuple, float], total: int | None =
     return out
 
 
-def average_link(members: DataFrame, pairs: DataFrame, group: str, member: str) -> DataFrame:
+def average_link(members: DataFrame, pairs: DataFrame, group: str, member: str, largest: float = LARGEST) -> DataFrame:
     """(group, cluster, member, cohesion); cluster is its least member. pairs: (group, a, b, affinity), a < b."""
     kind, key = members.schema[member].dataType.simpleString(), members.schema[group].dataType.simpleString()
     rows = members.select(group, F.col(member).alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(0.0).alias("affinity")).unionByName(pairs.select(group, "a", "b", "affinity"))
@@ -60,7 +60,7 @@ def average_link(members: DataFrame, pairs: DataFrame, group: str, member: str)
         own = pdf[pdf.b.isna()].a.tolist()
         links = pdf[pdf.b.notna()]
         affinity = {(type(a)(a), type(a)(b)): v for a, b, v in zip(links.a, links.b, links.affinity, strict=True)}
-        out = [(pdf[group].iloc[0], c[0], m, mean) for c, mean in agglomerate(own, affinity) for m in c]
+        out = [(pdf[group].iloc[0], c[0], m, mean) for c, mean in agglomerate(own, affinity, largest) for m in c]
         return pd.DataFrame(out, columns=[group, "cluster", "member", "cohesion"])
 
     return rows.groupBy(group).applyInPandas(run, f"{group} {key}, cluster {kind}, member {kind}, cohesion double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,12 +27,12 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
     raise RuntimeError("reachability did not settle")
 
 
-def resolve(spellings: DataFrame, aliases: DataFrame, spelling: str, alias: str, owner: str, sep: str = ".") -> DataFrame:
+def resolve(spellings: DataFrame, aliases: DataFrame, spelling: str, alias: str, owner: str, sep: str = ".", by: Sequence[str] = ()) -> DataFrame:
     """``spellings`` with each owner of its longest known dotted prefix; ambiguous prefixes keep every owner.
 
-    Prefixes are exploded and joined by equality, never by startswith.
+    Prefixes are exploded and joined by equality (within ``by``), never by startswith.
     """
     rows = spellings.withColumn("__p", F.explode(prefixes(F.col(spelling), sep)))
-    known = rows.join(aliases.select(F.col(alias).alias("__p"), F.col(owner)).distinct(), "__p")
+    known = rows.join(aliases.select(*by, F.col(alias).alias("__p"), F.col(owner)).distinct(), [*by, "__p"])
     best = F.max(F.length("__p")).over(Window.partitionBy(*[F.col(c) for c in spellings.columns]))
     return known.withColumn("__best", best).where(F.length("__p") == F.col("__best")).select(*spellings.columns, owner).distinct()
