@@ -13,10 +13,11 @@ more are refined further:
 2. Blocks. The windows of an anchor are taken ``BLOCK`` neighbouring offsets at a time. The bytes that all
    windows of a block share (core) and the bytes that any has (union) identify it: a core of its own means
    that none is repeated; one union for the whole bucket means that all are.
+   Members with a union that another one has are all repeated; one of them stands for them in step 3.
 3. Windows, for the blocks that are left (at the ends of repeated passages); 128-bit identifiers.
 
-From step 2 on only the neighbourhoods of repeated anchors are kept. Equal texts go through the steps once;
-a text held by several rows is repeated as a whole. No bucket is gathered: steps are aggregations with
+From step 2 on only texts with repeated anchors are looked at. Equal texts go through the steps once; a text
+held by several rows is repeated as a whole. Texts are shuffled once, to meet their repeated anchors. No bucket is gathered: steps are aggregations with
 partial results and joins back.
 
 Results for odd input: null texts are empty texts; texts shorter than ``length`` are repeated nowhere; ids may
@@ -110,121 +111,105 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchor_table(keyed: DataFrame, length: int, q: int) -> DataFrame:
-    """(th1, th2, rep, n, gram, at, lo, hi) of each distinct text long enough; arrays run over its anchors."""
+    """(th1, th2, rep, n, gram, mark) of each distinct text long enough; arrays run over its anchors.
+
+    A mark packs an anchor's position with its least and greatest offset in its windows.
+    """
 
     def run(batches):
         for batch in batches:
             got = [anchors(np.frombuffer(t.encode(), np.uint8), length, q) for t in batch.column("text").to_pylist()]
-            cols = list(zip(*got, strict=True)) if got else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("th1", "th2", "id")], _lists([g.view(np.int64) for g in cols[0]], pa.int64()), *[_lists(list(c), pa.int64()).cast(pa.list_(pa.int32())) for c in cols[1:]]],
-                ["th1", "th2", "id", "gram", "at", "lo", "hi"],
-            )
+            gram = [g.view(np.int64) for g, *_ in got]
+            mark = [at << 24 | (at - hi) << 12 | (at - lo) for _, at, lo, hi in got]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("th1", "th2", "id")], _lists(gram, pa.int64()), _lists(mark, pa.int64())], ["th1", "th2", "id", "gram", "mark"])
 
     kind = keyed.schema["id"].dataType.simpleString()
-    rows = keyed.where(F.octet_length("text") >= length).select("th1", "th2", "id", "text").mapInArrow(run, f"th1 long, th2 long, id {kind}, gram array<long>, at array<int>, lo array<int>, hi array<int>")
-    return store(rows.groupBy("th1", "th2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("gram", "at", "lo", "hi")]), "anchors")
+    rows = keyed.where(F.octet_length("text") >= length).select("th1", "th2", "id", "text").mapInArrow(run, f"th1 long, th2 long, id {kind}, gram array<long>, mark array<long>")
+    return store(rows.groupBy("th1", "th2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("gram").alias("gram"), F.first("mark").alias("mark")), "anchors")
 
 
-def _segments(keyed: DataFrame, live: DataFrame, length: int) -> DataFrame:
-    """(th1, th2, start, bytes, at, lo, hi): the neighbourhoods of live anchors, those that overlap in one row."""
+def _unpack(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, least offset, greatest offset)."""
+    return marks >> 24, marks >> 12 & 4095, marks & 4095
 
-    def run(batches):
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for th1, th2, text, marks in zip(*[batch.column(c).to_pylist() for c in ("th1", "th2", "text", "marks")], strict=True):
-                raw, held, end = text.encode(), [], -1
-                marks = sorted((m["at"], m["lo"], m["hi"]) for m in marks)
-                for k, (_, lo, hi) in enumerate(marks):
-                    held.append(marks[k])
-                    end = hi + length
-                    if k + 1 == len(marks) or marks[k + 1][1] > end or end - held[0][1] > CHUNK:
-                        start = held[0][1]
-                        for c, v in zip(out, (th1, th2, start, raw[start:end], *map(list, zip(*held, strict=True))), strict=True):
-                            c.append(v)
-                        held = []
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.list_(pa.int32())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["th1", "th2", "start", "bytes", "at", "lo", "hi"])
 
+def _texts(keyed: DataFrame, table: DataFrame) -> DataFrame:
+    """(th1, th2, text, marks) of the texts with repeated anchors; marks are those anchors'."""
+    marks = table.select("th1", "th2", F.explode(F.arrays_zip("gram", "mark")).alias("m")).select("th1", "th2", "m.gram", "m.mark")
+    grams = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    live = marks.join(grams, "gram", "left_semi").groupBy("th1", "th2").agg(F.collect_list("mark").alias("marks"))
+    live = live.join(table.select("th1", "th2", "rep"), ["th1", "th2"]).withColumnsRenamed({"th1": "t1", "th2": "t2"})
+    # the representative's id is part of the key, so copies of a text do not meet in one task
     own = keyed.join(live, [F.col("id").eqNullSafe(F.col("rep")), F.col("th1") == F.col("t1"), F.col("th2") == F.col("t2")])
-    rows = own.select("th1", "th2", "text", "marks").mapInArrow(run, "th1 long, th2 long, start int, bytes binary, at array<int>, lo array<int>, hi array<int>")
-    return store(rows.dropDuplicates(["th1", "th2", "start"]), "segments")  # rows that repeat an id and its text
+    return store(own.select("th1", "th2", "text", "marks").dropDuplicates(["th1", "th2"]), "texts")
 
 
-def _blocks(segments: DataFrame, length: int, block: int) -> DataFrame:
-    """(th1, th2, seg, s, e, t, core, union1, union2): windows starting in [s, e], offsets of block t from their anchor."""
+def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
+    """(th1, th2, s, e, t, core, u1, u2): windows starting in [s, e], offsets of block t from their anchor."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("th1", "th2", "start", "bytes", "at", "lo", "hi")}
-                raw, base = np.frombuffer(row["bytes"], np.uint8), row["start"]
+            for th1, th2, text, marks in zip(*[batch.column(c).to_pylist() for c in ("th1", "th2", "text", "marks")], strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
                 p1, p2 = Prefix(raw, 0), Prefix(raw, 1)
-                at, lo, hi = (np.array(row[c], np.int64) - base for c in ("at", "lo", "hi"))
-                o1, o2 = at - hi, at - lo  # least and greatest offset of the anchor in its windows
+                at, o1, o2 = _unpack(np.sort(np.array(marks, np.int64)))
                 n = o2 // block - o1 // block + 1
                 own = np.repeat(np.arange(len(at)), n)
                 t = o1[own] // block + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 a, b = np.maximum(t * block, o1[own]), np.minimum(t * block + block - 1, o2[own])
                 core = p1(at[own] - t * block, at[own] - t * block - block + 1 + length)
-                full = b - a == block - 1
-                u1, u2 = (p(np.where(full, at[own] - b, 0), np.where(full, at[own] - a + length, 0)).view(np.int64) for p in (p1, p2))
+                start, end = at[own] - b, at[own] - a
+                # the offsets that the block has of its anchor are part of the union's identity
+                u1, u2 = (p(start, end + length) ^ (a * 4096 + b).astype(np.uint64) for p in (p1, p2))
                 m = len(own)
-                out.append(
-                    pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(m, row["th1"])), pa.array(np.full(m, row["th2"])), pa.array(np.full(m, base), pa.int32()),
-                            pa.array(at[own] - b + base, pa.int32()), pa.array(at[own] - a + base, pa.int32()), pa.array(t, pa.int32()), pa.array(core.view(np.int64)),
-                            pa.array(u1, mask=~full), pa.array(u2, mask=~full),
-                        ],
-                        ["th1", "th2", "seg", "s", "e", "t", "core", "union1", "union2"],
-                    )
-                )
-            yield from out
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(m, th1)), pa.array(np.full(m, th2)), *[pa.array(x, pa.int32()) for x in (start, end, t)], *[pa.array(x.view(np.int64)) for x in (core, u1, u2)]],
+                    ["th1", "th2", "s", "e", "t", "core", "u1", "u2"],
+                )
 
-    return store(segments.mapInArrow(run, "th1 long, th2 long, seg int, s int, e int, t int, core long, union1 long, union2 long"), "blocks")
+    return store(texts.mapInArrow(run, "th1 long, th2 long, s int, e int, t int, core long, u1 long, u2 long"), "blocks")
 
 
-def _windows(segments: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """(th1, th2, p, w1, w2) of each window of the blocks in ``mixed`` (th1, th2, seg, s, e)."""
+def _windows(texts: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
+    """(th1, th2, p, w1, w2) of each window of the blocks in ``mixed`` (th1, th2, s, e)."""
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].as_py() for c in ("th1", "th2", "start", "bytes", "marks")}
-                raw, base = np.frombuffer(row["bytes"], np.uint8), row["start"]
-                p = np.unique(np.concatenate([np.arange(m["s"], m["e"] + 1) for m in row["marks"]])) - base
+            for th1, th2, text, spans in zip(*[batch.column(c).to_pylist() for c in ("th1", "th2", "text", "spans")], strict=True):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                p = np.unique(np.concatenate([np.arange(m["s"], m["e"] + 1) for m in spans]))
                 w1, w2 = (Prefix(raw, i)(p, p + length).view(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), row["th1"])), pa.array(np.full(len(p), row["th2"])), pa.array(p + base, pa.int32()), pa.array(w1), pa.array(w2)], ["th1", "th2", "p", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), th1)), pa.array(np.full(len(p), th2)), pa.array(p, pa.int32()), pa.array(w1), pa.array(w2)], ["th1", "th2", "p", "w1", "w2"])
 
-    marks = mixed.groupBy("th1", "th2", "seg").agg(F.collect_list(F.struct("s", "e")).alias("marks")).withColumnRenamed("seg", "start")
-    return segments.select("th1", "th2", "start", "bytes").join(marks, ["th1", "th2", "start"]).mapInArrow(run, "th1 long, th2 long, p int, w1 long, w2 long")
+    spans = mixed.groupBy("th1", "th2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    return texts.select("th1", "th2", "text").join(spans, ["th1", "th2"]).mapInArrow(run, "th1 long, th2 long, p int, w1 long, w2 long")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(th1, th2, whole, spans array<struct<s, e>>) of the texts that hold repeated strings; spans [s, e) may touch and overlap."""
+def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((th1, th2) of the texts that several rows hold, (th1, th2, text, spans) of those that hold repeated strings).
+
+    Spans are structs [s, e) in order; they may touch and overlap.
+    """
+    if length - q >= 4096 or block > length - q:
+        raise ValueError("length - q must lie between block and 4095")
     keyed = _keyed(docs, id_col, text_col)
     table = _anchor_table(keyed, length, q)
-    marks = table.select("th1", "th2", "rep", F.explode(F.arrays_zip("gram", "at", "lo", "hi")).alias("m")).select("th1", "th2", "rep", "m.*")
-    grams = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    live = marks.join(grams, "gram", "left_semi").groupBy("th1", "th2", "rep").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("marks")).withColumnsRenamed({"th1": "t1", "th2": "t2"})
-    segments = _segments(keyed, live, length)
-    blocks = _blocks(segments, length, block)
-    buckets = blocks.groupBy("t", "core").agg(
-        F.count("*").alias("n"), F.count("union1").alias("full"), F.min("union1").alias("a1"), F.max("union1").alias("b1"), F.min("union2").alias("a2"), F.max("union2").alias("b2")
-    )
-    buckets = buckets.where("n > 1").select("t", "core", F.coalesce(F.expr("full = n and a1 = b1 and a2 = b2"), F.lit(False)).alias("same"))
-    judged = store(blocks.join(buckets, ["t", "core"]).select("th1", "th2", "seg", "s", "e", "same"), "judged")
-    windows = store(_windows(segments, judged.where("not same").select("th1", "th2", "seg", "s", "e").distinct(), length), "windows")
+    copied = store(table.where("n > 1").select("th1", "th2"), "copied")
+    texts = _texts(keyed, table)
+    drop(table)
+    blocks = _blocks(texts, length, block)
+    place = F.struct("th1", "th2", "s", "e")
+    unions = store(blocks.groupBy("t", "core", "u1", "u2").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "unions")
+    buckets = unions.groupBy("t", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("t", "core")
+    mixed = unions.join(buckets, ["t", "core"], "left_semi").select("rep.*")
+    windows = store(_windows(texts, mixed, length), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     one = windows.join(twice, ["w1", "w2"], "left_semi").select("th1", "th2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    all_ = judged.where("same").select("th1", "th2", "s", (F.col("e") + length).alias("e")).unionByName(one)
-    spans = all_.groupBy("th1", "th2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    copied = table.where("n > 1").select("th1", "th2", F.lit(True).alias("whole"))
-    out = store(spans.join(copied, ["th1", "th2"], "full").select("th1", "th2", F.coalesce("whole", F.lit(False)).alias("whole"), "spans"), "spans")
-    drop(table, segments, blocks, judged, windows)
-    return out
+    same = blocks.join(unions.where("n > 1").select("t", "core", "u1", "u2"), ["t", "core", "u1", "u2"], "left_semi").select("th1", "th2", "s", (F.col("e") + length).alias("e"))
+    spans = same.unionByName(one).groupBy("th1", "th2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    out = store(texts.select("th1", "th2", "text").join(spans, ["th1", "th2"]), "spans")
+    drop(texts, blocks, unions, windows)
+    return copied, out
 
 
 def cut(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
@@ -232,30 +217,32 @@ def cut(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, i
 
     def run(batches):
         for batch in batches:
-            size, removed, count, sha, kept = [], [], [], [], []
-            for text, all_, spans in zip(*[batch.column(c).to_pylist() for c in ("text", "whole", "spans")], strict=True):
-                raw = text.encode()
-                runs: list[list[int]] = [[0, len(raw)]] if all_ else []
-                for s in [] if all_ else spans or []:
+            removed, count, sha, kept = [], [], [], []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                raw, runs = text.encode(), []
+                for s in spans:
                     if runs and s["s"] <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], s["e"])
                     else:
                         runs.append([s["s"], s["e"]])
                 cuts = [0, *[x for r in runs for x in r], len(raw)]
-                rest = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)) if runs else raw
-                size.append(len(raw))
+                rest = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 removed.append(len(raw) - len(rest))
                 count.append(len(runs))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *[pa.array(x, pa.int64()) for x in (size, removed, count)], pa.array(sha, pa.string()), *[pa.array(kept, pa.binary())] * with_bytes],
-                ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes],
-            )
-
-    spans = repeated(docs, length, q, block, id_col, text_col)
-    keyed = _keyed(docs, id_col, text_col)
-    kind = keyed.schema["id"].dataType.simpleString()
-    rows = keyed.join(spans, ["th1", "th2"], "left").select("id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    out = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
-    return out.withColumnRenamed("id", id_col)
+                kept.append(rest if with_bytes else None)
+            yield pa.RecordBatch.from_arrays([batch.column("th1"), batch.column("th2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["th1", "th2", "removed", "spans", "sha", "kept"])
+
+    copied, found = repeated(docs, length, q, block, id_col, text_col)
+    # one row a text: a text that several rows hold goes as a whole, whatever its spans
+    some = found.join(copied, ["th1", "th2"], "left_anti").mapInArrow(run, "th1 long, th2 long, removed long, spans long, sha string, kept binary")
+    empty = hashlib.sha256(b"").hexdigest()
+    all_ = copied.select("th1", "th2", F.lit(-1).cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(empty).alias("sha"), F.lit(b"").alias("kept"))
+    cuts = store(some.unionByName(all_), "cuts")
+    drop(copied, found)
+    size = F.octet_length("text").cast("long")
+    rows = _keyed(docs, id_col, text_col).select("id", "th1", "th2", size.alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"), *[F.col("text").cast("binary").alias("raw")] * with_bytes)
+    rows = rows.join(cuts, ["th1", "th2"], "left")
+    removed = F.when(F.col("removed") < 0, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0)))
+    out = [F.col("id").alias(id_col), "n_bytes", removed.alias("n_removed"), F.coalesce("spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "own").alias("kept_sha256")]
+    return rows.select(*out, *[F.coalesce("kept", "raw").alias("kept")] * with_bytes)
