@@ -22,3 +22,10 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path, schema = f"{shared_dir(df.sparkSession)}/quarry/{label}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def local_session() -> SparkSession:
+    """The active session, or one for this machine."""
+    out = SparkSession.builder.appName("quarry").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    out.sparkContext.setLogLevel("ERROR")
+    return out

@@ -251,3 +251,18 @@ def test_fact_cache(spark, tmp_path):
     assert cached_facts(one, cache).count() == 1
     assert sorted((r["repo"], r["path"]) for r in cached_facts(two, cache).collect()) == [("q", "b.py"), ("r", "a.py")]
     assert spark.read.parquet(cache).count() == 2
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.__main__ import main
+
+    (tmp_path / "app.py").write_text("import parser_v2\n" + MAIN)
+    (tmp_path / "parser.py").write_text(BODY)
+    (tmp_path / "parser_v2.py").write_text(BODY)
+    assert main(["scan", str(tmp_path), "--format", "json", "--fail-on", "high"]) == 1
+    assert {f["rule"] for f in json.loads(capsys.readouterr().out)["findings"]} == {"stale-file", "duplicate-implementation"}
+    accepted = str(tmp_path / "accepted.json")
+    assert main(["accept", str(tmp_path), "--output", accepted]) == 0
+    assert main(["scan", str(tmp_path), "--accepted", accepted, "--fail-on", "all"]) == 0
+    assert main(["scan", str(tmp_path), "--accepted", str(tmp_path / "app.py")]) == 2
+    assert main(["diff", str(tmp_path)]) == 2
