@@ -107,11 +107,11 @@ class Machine:
         squares = np.add.reduceat(vx * vx, ptr[:-1], axis=0)
         return self.w0 + np.add.reduceat(self.w[ids] * x, ptr[:-1]) + 0.5 * (sums * sums - squares).sum(axis=1), sums
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, rate: float = 0.1, decay: float = 1e-5) -> None:
-        """Adagrad on the logistic loss, in a fixed order."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, steps: int = 500, rate: float = 0.1, decay: float = 1e-5) -> None:
+        """Adagrad on the logistic loss, in a fixed order: ``epochs`` rounds, or more until ``steps`` are made."""
         gw, gv, g0 = np.full(self.w.shape, 1e-6, np.float32), np.full(self.v.shape, 1e-6, np.float32), 1e-6
         rng = np.random.default_rng(11)
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * 128 // len(rows)))):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), 128):
                 part = order[k : k + 128]
