@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from conftest import DATA
@@ -12,7 +13,7 @@ from quarry import queries as core
 
 def _rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(plain(v) for v in row) for row in frame.astype(object).itertuples(index=False)), key=str)
 
 
