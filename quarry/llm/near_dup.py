@@ -9,8 +9,9 @@ Equal texts form a class. Each class has ``BANDS * ROWS`` consistent weighted sa
 band meet in a bucket. A bucket compares its members with a pivot, the member with the most bucket mates
 (for copies of one original that is the original); pairs are verified by exact weighted Jaccard similarity
 over the whole texts. After two rounds of pivots, members of a bucket that are still in different components
-are compared pair by pair, after a check of their sample sketches; so no bucket has a cap, and only pairs
-that could join components are ever emitted.
+are compared with each other, unless their sample sketches or a bound rule it out: shingles that no other
+text of these buckets has are in no intersection, so a text with own weight u of W shares at most W - u with
+any other. No bucket has a cap, and only pairs that could join components are ever emitted.
 
 Results for odd input: null texts and texts without a word link with nothing; rows with null id link with
 nothing and are kept; repeated rows share their class (all rows of the kept id are kept); an empty table
@@ -222,6 +223,25 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _stars(tied: DataFrame) -> DataFrame:
+    return tied.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
+def _bounds(texts: DataFrame, idf) -> DataFrame:
+    """(cid, total, own): weight of each text's shingles, and of those that no other of these texts has."""
+
+    def run(batches):
+        make = Shingles(idf.value)
+        for batch in batches:
+            for cid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, w = make(text)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), cid)), pa.array(ids.view(np.int64)), pa.array(w)], ["cid", "h", "w"])
+
+    each = store(texts.select("cid", "text").mapInArrow(run, "cid long, h long, w double"), "shingles")
+    alone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min("w").alias("w")).where("n = 1").groupBy("cid").agg(F.sum("w").alias("own"))
+    return store(each.groupBy("cid").agg(F.sum("w").alias("total")).join(alone, "cid", "left").select("cid", "total", F.coalesce("own", F.lit(0.0)).alias("own")), "bounds")
+
+
 def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """(th1, th2, component, reps) of every class of texts that links with another text or is held by several rows."""
     spark = docs.sparkSession
@@ -233,7 +253,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     drop(rows)
     # different texts may share a class's least id where ids repeat; the least text then stands for the id
     member = classes.select("cid", F.explode("bands").alias("key"))
-    size = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # stored, so that the joins on keys have exchanges of their own, which Spark can split where a key is hot
+    size = store(member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     mates = store(member.join(size, "key"), "buckets")
     degree = store(mates.groupBy("cid").agg(F.sum("size").alias("degree")), "degrees")
     mates2 = store(mates.join(degree, "cid").select("key", "cid", "degree"), "buckets")
@@ -242,27 +263,35 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     wanted = degree.select("cid").join(classes.select("cid", "th1", "th2"), "cid")
     keyed = _keyed(docs, id_col, text_col)
     texts = store(keyed.join(wanted, (keyed["id"] == wanted["cid"]) & (keyed["th1"] == wanted["th1"]) & (keyed["th2"] == wanted["th2"])).select("cid", "text").dropDuplicates(["cid"]), "texts")
-    edges, open_, tied = None, mates2, None
+    open_, tied = mates2, None
     for _ in range(2):
         pivot = open_.groupBy("key").agg(F.max_by("cid", F.struct("degree", -F.col("cid"))).alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
+        pivot = store(pivot, "pivots")
         pairs = open_.join(pivot, "key").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
         found = verify(pairs, texts, idf, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = store(found if edges is None else edges.unionByName(found), "links")
-        edges, tied = new, store(components(new), "components")
+        # earlier links are passed on as the stars of their components, which settle in fewer rounds
+        tied = store(components(found if tied is None else found.unionByName(_stars(tied))), "components")
         # members outside their pivot's component stay open for another pivot
         own = open_.join(tied.withColumnsRenamed({"node": "cid", "component": "own"}), "cid", "left")
         piv = pivot.join(tied.withColumnsRenamed({"node": "pivot", "component": "theirs"}), "pivot", "left")
         open_ = store(own.join(piv, "key").where("cid <> pivot and not (own <=> theirs and own is not null)").select("key", "cid", "degree"), "open")
     # what is open still meets every member of its bucket in another component
     all_ = mates2.join(tied.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
-    sketched = classes.select("cid", "sketch")
-    left = open_.select("key", "cid").join(all_, ["key", "cid"]).select("key", F.col("cid").alias("a"), F.col("comp").alias("ca")).join(sketched.withColumnsRenamed({"cid": "a", "sketch": "sa"}), "a")
-    right = all_.join(open_.select("key").distinct(), "key", "left_semi").select("key", F.col("cid").alias("b"), F.col("comp").alias("cb")).join(sketched.withColumnsRenamed({"cid": "b", "sketch": "sb"}), "b")
-    same = sum((F.substring("sa", i + 1, 1) == F.substring("sb", i + 1, 1)).cast("int") for i in range(BANDS * ROWS))
-    pairs = left.join(right, "key").where(F.col("ca") != F.col("cb")).where(same >= int(SKETCH_MIN * BANDS * ROWS)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    all_ = store(all_.join(open_.select("key").distinct(), "key", "left_semi"), "buckets")
+    weights = _bounds(texts.join(all_.select("cid").distinct(), "cid", "left_semi"), idf)
+    all_ = all_.join(classes.select("cid", "sketch").join(weights, "cid"), "cid")
+    # alone, a text shares at most 1 - u / W of any union
+    left = open_.select("key", "cid").join(all_, ["key", "cid"]).where((F.col("total") - F.col("own")) >= (threshold - 1e-9) * F.col("total"))
+    left = left.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "comp", "sketch", "total", "own")])
+    right = all_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "comp", "sketch", "total", "own")])
+    same = sum((F.substring("sketch_a", i + 1, 1) == F.substring("sketch_b", i + 1, 1)).cast("int") for i in range(BANDS * ROWS))
+    most = F.least(F.col("total_a") - F.col("own_a"), F.col("total_b") - F.col("own_b"))
+    could = most >= (threshold - 1e-9) * (F.col("total_a") + F.col("total_b") - most)
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & could & (same >= int(SKETCH_MIN * BANDS * ROWS)))
+    pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
     more = store(verify(pairs, texts, idf, threshold), "links")
     if more.head(1):
-        tied = store(components(edges.unionByName(more)), "components")
+        tied = store(components(more.unionByName(_stars(tied))), "components")
     out = classes.select("th1", "th2", "cid", "n", "reps").join(tied.withColumnRenamed("node", "cid"), "cid", "left").where("n > 1 or component is not null")
     return out.select("th1", "th2", F.coalesce("component", "cid").alias("component"), "reps"), [mates2, texts]
 
