@@ -91,7 +91,8 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text") ->
     keys = store(recurring(lines, min_docs).select("key"), "templates")
     each = lines.select("__th1", "__th2", F.posexplode("keys").alias("pos", "own")).select("__th1", "__th2", "pos", F.explode("own").alias("key"))
     hit = each.join(F.broadcast(keys) if keys.count() <= FEW else keys, "key", "left_semi")
-    drops = hit.groupBy("__th1", "__th2").agg(F.sort_array(F.collect_set("pos")).alias("__drop"))
+    # stored, so that the join with all rows has an exchange of its own, which Spark can split where a text is hot
+    drops = store(hit.groupBy("__th1", "__th2").agg(F.sort_array(F.collect_set("pos")).alias("__drop")), "drops")
     text = F.col(text_col)
     own = docs.withColumns({"__th1": text_key(text)[0], "__th2": text_key(text)[1]})
     cut = own.join(drops, ["__th1", "__th2"], "left")
