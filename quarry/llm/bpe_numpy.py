@@ -24,14 +24,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import whole
+from quarry.llm.common import slices, whole
 
 #: Larger than any rank.
 NONE = np.int32(2**31 - 1)
 #: Rows of this many ids or more merge all safe occurrences of a pair at once.
 LONG = 48
 #: Pieces kept per worker; beyond it the memo starts anew, so memory stays bounded.
-MEMO = 600_000
+MEMO = 250_000
 
 
 class PairTable:
@@ -242,7 +242,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = c.encode(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([c.decode(x) for x in ids], pa.binary())], ["id", "ids", "decoded"])
 
@@ -255,7 +255,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
 
     def run(batches):
         c = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             ids = c.encode(texts)
             back = [c.decode(x) for x in ids]

@@ -59,3 +59,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def whole(text: str = "text"):
     """The text column, null as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def slices(batches, rows: int = 512):
+    """The same rows in smaller batches, so that Python objects made of one are few at a time."""
+    for batch in batches:
+        for k in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(k, rows)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import drop, store
+from quarry.llm.common import drop, slices, store
 from quarry.llm.graph import components
 
 SHINGLE = 5
@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 BANDS = 14
 ROWS = 4
 DF_BITS = 16
-MEMO = 500_000
+MEMO = 250_000
 WORD = re.compile(r"\w+")
 #: A pair with true similarity THRESHOLD shares fewer of its 56 sampled bytes with a probability below 1e-5.
 SKETCH_MIN = 0.55
@@ -168,7 +168,7 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         make, sample = Shingles(idf.value), Sampler()
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = batch.column("text").to_pylist()
             bands, sketch, at = [], [], []
             held, held_at, size = [], [], 0
@@ -208,7 +208,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
 
     def run(batches):
         make, memo = Shingles(idf.value), {}
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, ta, tb in zip(batch.column("a").to_pylist(), batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
                 if a not in memo:

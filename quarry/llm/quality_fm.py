@@ -30,7 +30,7 @@ from quarry.llm.common import whole
 BITS = 18
 RANK = 8
 SHAPES = 256
-MEMO = 500_000
+MEMO = 250_000
 STATS = (
     "log_bytes", "upper", "digit", "space", "newline", "plain_punct", "symbol", "wide", "control",
     "log_words", "mean_word", "long_words", "types", "no_letter", "caps_words", "repeats", "lines_repeated", "log_mean_line", "ends_stop",
