@@ -279,15 +279,17 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     all_ = mates2.join(tied.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
     all_ = store(all_.join(open_.select("key").distinct(), "key", "left_semi"), "buckets")
     weights = _bounds(texts.join(all_.select("cid").distinct(), "cid", "left_semi"), idf)
-    all_ = all_.join(classes.select("cid", "sketch").join(weights, "cid"), "cid")
+    all_ = all_.join(classes.select("cid", "sketch", "bands").join(weights, "cid"), "cid")
+    seen = open_.groupBy("cid").agg(F.collect_set("key").alias("keys"))  # BANDS at most
     # alone, a text shares at most 1 - u / W of any union
     left = open_.select("key", "cid").join(all_, ["key", "cid"]).where((F.col("total") - F.col("own")) >= (threshold - 1e-9) * F.col("total"))
-    left = left.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "comp", "sketch", "total", "own")])
-    right = all_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "comp", "sketch", "total", "own")])
+    left = left.join(seen, "cid").select("key", *[F.col(c).alias(f"{c}_a") for c in ("cid", "comp", "sketch", "total", "own", "keys")])
+    right = all_.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cid", "comp", "sketch", "total", "own", "bands")])
+    once = F.array_min(F.array_intersect("keys_a", "bands_b")) == left["key"]  # a pair is made in one of its buckets only
     same = sum((F.substring("sketch_a", i + 1, 1) == F.substring("sketch_b", i + 1, 1)).cast("int") for i in range(BANDS * ROWS))
     most = F.least(F.col("total_a") - F.col("own_a"), F.col("total_b") - F.col("own_b"))
     could = most >= (threshold - 1e-9) * (F.col("total_a") + F.col("total_b") - most)
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & could & (same >= int(SKETCH_MIN * BANDS * ROWS)))
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & could & (same >= int(SKETCH_MIN * BANDS * ROWS)) & once)
     pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
     more = store(verify(pairs, texts, idf, threshold), "links")
     if more.head(1):
