@@ -8,8 +8,8 @@ a counter is a share of the texts that does not grow with them.
 Equal texts form a class. Each class has ``BANDS * ROWS`` consistent weighted samples; classes that share a
 band meet in a bucket. A bucket compares its members with a pivot, the member with the most bucket mates
 (for copies of one original that is the original); pairs are verified by exact weighted Jaccard similarity
-over the whole texts. After two rounds of pivots, members of a bucket that are still in different components
-are compared with each other, unless their sample sketches or a bound rule it out: shingles that no other
+over the whole texts. After two rounds of pivots, each member that has not met all members of its bucket in
+other components (the second pivot, those that joined it, and lone open ones as well) meets them, unless their sample sketches or a bound rule it out: shingles that no other
 text of these buckets has are in no intersection, so a text with own weight u of W shares at most W - u with
 any other. No bucket has a cap, and only pairs that could join components are ever emitted.
 
@@ -227,6 +227,35 @@ def _stars(tied: DataFrame) -> DataFrame:
     return tied.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
+def _placed(members: DataFrame, tied: DataFrame) -> DataFrame:
+    """``members`` with comp, the component of each (itself where it links with nothing)."""
+    return members.join(tied.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
+def _outside(members: DataFrame, pivot: DataFrame, tied: DataFrame) -> DataFrame:
+    """The members outside the component of their bucket's pivot, with comp and first, the pivot's component."""
+    piv = _placed(pivot.withColumnRenamed("pivot", "cid"), tied).select("key", F.col("comp").alias("first"))
+    return _placed(members, tied).join(piv, "key").where("comp <> first")
+
+
+def _unmet(mates: DataFrame, outside: DataFrame, pivot: DataFrame, tied: DataFrame) -> DataFrame:
+    """(key, cid) of ``outside`` that have not met all members of their bucket in other components.
+
+    All of them have met the first pivot and, where there is one, the second; that one has met all but members
+    of the first pivot's component.
+    """
+    outside = store(outside.select("key", "cid", "comp", "first"), "outside")
+    held = _placed(mates.join(outside.select("key").distinct(), "key", "left_semi"), tied).groupBy("key", "comp").agg(F.count("*").alias("n"))
+    held = store(held, "held")
+    total = held.groupBy("key").agg(F.sum("n").alias("total"))
+    second = _placed(pivot.withColumnRenamed("pivot", "cid"), tied).select("key", F.col("cid").alias("pivot"), F.col("comp").alias("second"))
+    rows = outside.join(held, ["key", "comp"]).join(held.select("key", F.col("comp").alias("first"), F.col("n").alias("n_first")), ["key", "first"])
+    rows = rows.join(total, "key").join(second, "key", "left")
+    both = F.coalesce((F.col("second") != F.col("comp")).cast("int"), F.lit(0))
+    left = F.when(F.col("cid") == F.col("pivot"), F.col("n_first") - 1).otherwise(F.col("total") - F.col("n") - 1 - both)
+    return rows.where(left > 0).select("key", "cid")
+
+
 def _bounds(texts: DataFrame, idf) -> DataFrame:
     """(cid, total, own): weight of each text's shingles, and of those that no other of these texts has."""
 
@@ -263,20 +292,23 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     wanted = degree.select("cid").join(classes.select("cid", "th1", "th2"), "cid")
     keyed = _keyed(docs, id_col, text_col)
     texts = store(keyed.join(wanted, (keyed["id"] == wanted["cid"]) & (keyed["th1"] == wanted["th1"]) & (keyed["th2"] == wanted["th2"])).select("cid", "text").dropDuplicates(["cid"]), "texts")
-    open_, tied = mates2, None
+    open_, tied, pivots, met = mates2, None, [], None
     for _ in range(2):
         pivot = open_.groupBy("key").agg(F.max_by("cid", F.struct("degree", -F.col("cid"))).alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
         pivot = store(pivot, "pivots")
+        pivots.append(pivot)
         pairs = open_.join(pivot, "key").where("cid <> pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
+        pairs = store(pairs, "pairs")
         found = verify(pairs, texts, idf, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         # earlier links are passed on as the stars of their components, which settle in fewer rounds
         tied = store(components(found if tied is None else found.unionByName(_stars(tied))), "components")
-        # members outside their pivot's component stay open for another pivot
-        own = open_.join(tied.withColumnsRenamed({"node": "cid", "component": "own"}), "cid", "left")
-        piv = pivot.join(tied.withColumnsRenamed({"node": "pivot", "component": "theirs"}), "pivot", "left")
-        open_ = store(own.join(piv, "key").where("cid <> pivot and not (own <=> theirs and own is not null)").select("key", "cid", "degree"), "open")
-    # what is open still meets every member of its bucket in another component
-    all_ = mates2.join(tied.withColumnsRenamed({"node": "cid", "component": "comp"}), "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = pairs if met is None else met.unionByName(pairs)
+        if len(pivots) == 1:  # members outside their pivot's component stay open for another pivot
+            open_ = store(_outside(open_, pivot, tied).select("key", "cid", "degree"), "open")
+    # what joined neither pivot's component, and what joined the second one's, still meets every member of its bucket in another component
+    open_ = store(_unmet(mates2, _outside(open_, pivots[0], tied), pivots[1], tied), "open")
+    all_ = _placed(mates2, tied).select("key", "cid", "comp")
     all_ = store(all_.join(open_.select("key").distinct(), "key", "left_semi"), "buckets")
     weights = _bounds(texts.join(all_.select("cid").distinct(), "cid", "left_semi"), idf)
     all_ = all_.join(classes.select("cid", "sketch", "bands").join(weights, "cid"), "cid")
@@ -290,7 +322,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     most = F.least(F.col("total_a") - F.col("own_a"), F.col("total_b") - F.col("own_b"))
     could = most >= (threshold - 1e-9) * (F.col("total_a") + F.col("total_b") - most)
     pairs = left.join(right, (left["key"] == right["key"]) & (F.col("comp_a") != F.col("comp_b")) & could & (same >= int(SKETCH_MIN * BANDS * ROWS)) & once)
-    pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct()
+    pairs = pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     more = store(verify(pairs, texts, idf, threshold), "links")
     if more.head(1):
         tied = store(components(more.unionByName(_stars(tied))), "components")

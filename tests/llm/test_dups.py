@@ -5,8 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarry.llm import line_templates, near_dup, nn_descent, suffix_dedup
+from quarry.llm.common import store
 from quarry.llm.graph import components
 
 from .conftest import ODD, prose, words
@@ -193,6 +195,31 @@ def test_weighted_samples_estimate_similarity(rng):
     assert abs(np.mean(hits)) < 0.03
 
 
+def test_near_dup_compares_what_the_pivots_leave_open(spark, frame, rng, monkeypatch):
+    def chain():
+        w = prose(rng, n=300).split(" ")
+        out = []
+        for step in range(4):  # 0.87 to the next one, below 0.8 to the one after
+            out.append(" ".join(w))
+            for i in range(4):
+                w[10 + 20 * i + 90 * (step % 3)] = f"changed{step}x{i}"
+        return out
+
+    lone, second, joined = chain(), chain(), chain()
+    texts = {10: lone[0], 11: lone[1], 12: lone[2]}  # one open member after the first pivot, 10
+    texts |= {20: second[0], 21: second[1], 22: second[2], 23: prose(rng, n=300)}  # 22 is the second pivot
+    texts |= {30: joined[0], 31: joined[3], 32: joined[1], 33: joined[2]}  # 33 joins the second pivot, 31
+    df = frame([(i, t, "en") for i, t in texts.items()])
+    make = near_dup.Shingles(near_dup.idf_table(df))
+    sim = lambda a, b: near_dup.weighted_jaccard(make(a), make(b))
+    for c in (lone, second, joined):
+        assert min(sim(c[k], c[k + 1]) for k in range(3)) >= 0.8 > max(sim(c[k], c[k + 2]) for k in range(2))
+    real = near_dup.signatures
+    monkeypatch.setattr(near_dup, "signatures", lambda *args: store(real(*args).withColumn("bands", F.array((F.col("id") / 10).cast("long"))), "signatures"))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.groups(df).collect()}
+    assert got == {10: 10, 11: 10, 12: 10, 20: 20, 21: 20, 22: 20, 23: 23, 30: 30, 31: 30, 32: 30, 33: 30}
+
+
 def test_near_dup_of_nothing(spark, frame):
     assert near_dup.groups(frame([])).count() == 0 and near_dup.keep_one(frame([])).count() == 0
 
