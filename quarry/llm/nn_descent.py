@@ -4,10 +4,12 @@ Equal vectors form one node. The neighbour graph starts from neighbours in sever
 hyperplane codes and is refined by local joins: the neighbours of a node, forward and reverse, are compared
 with each other, and a pair replaces the worst neighbour of either end if it is closer. Rounds go on until
 one finds no new pair above the threshold. Lists hold ``k`` neighbours; a node whose list is full of pairs
-above the threshold is saturated, so its list is enlarged to its whole component, which is compared in
-blocks, in double precision (components of three nodes or more are treated so, which also closes their
-triangles). Recall is audited against brute force for up to ``audit`` nodes; below ``recall`` all lists are
-doubled and refined again.
+above the threshold is saturated. A pair that local joins discard has two saturated ends, so all saturated
+nodes of different components are compared with each other, in blocks, and components that link are merged.
+Then each list is enlarged to the node's whole component, compared in blocks, in double precision (components
+of three nodes or more are treated so, which also closes their triangles). Recall is audited against brute
+force for up to ``audit`` nodes, as the mean of the nodes' own shares; below ``recall`` all lists are doubled
+and refined again.
 
 Nodes' lists are bounded; top-k filters run before the shuffles; nothing but the audit's nodes is broadcast.
 
@@ -34,6 +36,8 @@ NEXT = 3
 #: Single-precision products this far below the threshold are looked at again in double precision.
 SLACK = 1e-4
 BLOCK = 512
+#: Saturated nodes in a block of the search across components.
+WIDE_BLOCK = 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -172,6 +176,29 @@ def _pairs(graph: DataFrame, threshold: float) -> DataFrame:
     return graph.where(F.col("sim") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
+def _across(graph: DataFrame, k: int, tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): for each two components with a link between saturated nodes one such link, by exact comparison in blocks."""
+    full = graph.groupBy("u").agg(F.count("*").alias("m"), F.min("sim").alias("worst")).where((F.col("m") >= k) & (F.col("worst") >= threshold - SLACK)).select(F.col("u").alias("node"))
+    placed = store(full.join(tied.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "saturated")
+    nb = -(-placed.count() // WIDE_BLOCK)
+    rows = placed.join(table.select("node", "vec"), "node").withColumn("blk", F.pmod(F.xxhash64("node"), F.lit(max(nb, 1))).cast("int"))
+    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(nb, 1) - 1))))
+    sent = sent.select(F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "component", "vec")
+
+    def run(table: pa.Table) -> pa.Table:
+        x = _scaled(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
+        blk, node, own = (table.column(c).to_numpy() for c in ("blk", "node", "component"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        p, q = np.nonzero((x[left] @ x[right].T >= threshold) & (own[left][:, None] != own[right][None, :]))
+        a, b = left[p], right[q]
+        _, first = np.unique(np.stack([np.minimum(own[a], own[b]), np.maximum(own[a], own[b])], axis=1), axis=0, return_index=True)
+        a, b = node[a[first]], node[b[first]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return sent.groupBy("i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def _closed(tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
     """(node, links): linked vectors of each node of the components, compared in blocks of their component."""
     rows = tied.join(table, "node")
@@ -199,7 +226,7 @@ def _closed(tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
 
 
 def recall_of(table: DataFrame, tied: DataFrame, threshold: float, audit: int) -> float:
-    """Share of the links of up to ``audit`` nodes, by brute force over all nodes, that lie within the components found."""
+    """Mean share of a node's links, by brute force for up to ``audit`` nodes, that lie within the components found."""
     spark, total = table.sparkSession, table.count()
     if not total:
         return 1.0
@@ -221,8 +248,8 @@ def recall_of(table: DataFrame, tied: DataFrame, threshold: float, audit: int) -
     true = table.select("node", "vec").mapInArrow(run, "a long, b long")
     own = tied.select("node", "component")
     got = true.join(own.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(own.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-    n, hit = got.agg(F.count("*"), F.count_if(F.col("ca") == F.col("cb"))).first()
-    return hit / n if n else 1.0
+    share = got.groupBy("b").agg((F.count_if(F.col("ca") == F.col("cb")) / F.count("*")).alias("share")).agg(F.avg("share")).first()[0]
+    return 1.0 if share is None else share
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = 8, audit: int = 1000, recall: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -259,6 +286,11 @@ def _one_size(table: DataFrame, threshold: float, k: int, rounds: int, audit: in
             met = n
         pairs = store(_check(_pairs(graph, threshold), table, threshold), "pairs")
         tied = store(components(pairs), "components")
+        more = store(_across(graph, k, tied, table, threshold), "across")
+        if more.head(1):
+            pairs = pairs.unionByName(more)
+            stars = tied.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+            tied = store(components(more.unionByName(stars)), "components")
         if recall_of(table, tied, threshold, audit) >= recall:
             break
         k *= 2

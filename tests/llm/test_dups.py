@@ -75,6 +75,18 @@ def test_nn_descent_equals_brute_force(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (count[i], want[i], want[i] == i)
 
 
+def test_nn_descent_links_saturated_groups(spark):
+    rng = np.random.default_rng(4)
+    a, b = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    centers = [a, 0.96 * a + (1 - 0.96**2) ** 0.5 * b]
+    vecs = np.array([c + rng.normal(size=16) * 0.0005 for c in centers for _ in range(14)])
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    assert (unit @ unit.T >= 0.951).all()  # all are linked, but the 8 closest are of a node's own group
+    df = spark.createDataFrame([(i, v.tolist(), 0, 1, 2) for i, v in enumerate(vecs)], VECS)
+    got = nn_descent.near_duplicates(df, recall=0.0).collect()  # without the audit's help
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(27, 0)}
+
+
 def test_nn_descent_of_nothing(spark):
     assert nn_descent.near_duplicates(spark.createDataFrame([], VECS)).count() == 0
     one = nn_descent.near_duplicates(spark.createDataFrame([(5, None, 0, 0, 0)], VECS)).first()
