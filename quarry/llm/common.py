@@ -14,10 +14,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a trailing slash.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    a laptop) a folder of our own is made and set for the session.
+    a laptop; local masters only) a folder of our own is made and set for the session.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", where)
     if "://" not in where:
@@ -61,6 +63,17 @@ def whole(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Those names, lengthened until ``docs`` has no column of the name."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def slices(batches, rows: int = 512):
     """The same rows in smaller batches, so that Python objects made of one are few at a time."""
     for batch in batches:

@@ -238,53 +238,78 @@ def test_near_dup_of_nothing(spark, frame):
 
 # -- operator 8 ---------------------------------------------------------------------------------
 def _templates(line):
+    """Templates by the definition: own tokens, and with one of four parts after the leading two left open."""
     toks = ["<*>" if re.search("[0-9@]|://", t) else t for t in re.split("[ \t\r\f]+", line.lower().strip(" "))]
-    n = len(toks)
-    if n < line_templates.MIN_TOKENS:
-        return []
-    out = [(0, tuple(toks))]
-    if n >= line_templates.WIDE:
-        rest = n - line_templates.LEAD
-        for s in range(line_templates.PARTS):
-            a, b = line_templates.LEAD + rest * s // line_templates.PARTS, line_templates.LEAD + rest * (s + 1) // line_templates.PARTS
-            out.append((s + 1, n, tuple(toks[:a]), tuple(toks[b:])))
-    return out
+    n, rest = len(toks), len(toks) - 2
+    if not [t for t in toks if t not in ("<*>", "")]:
+        return set()
+    parts = [(2 + rest * s // 4, 2 + rest * (s + 1) // 4) for s in range(4)] if rest >= 4 else []
+    return {tuple(toks)} | {(n, s, *toks[:a], "|", *toks[b:]) for s, (a, b) in enumerate(parts)}
 
 
 def brute_lines(texts, min_docs):
-    sigs, counts = {}, defaultdict(set)
-    for t in {t for t in texts if t is not None}:
-        long = [hashlib.md5(w.encode()).hexdigest() for w in re.split(r"[\W\d_]+", t.lower()) if len(w) >= line_templates.LONG_WORD]
-        sigs[t] = min(long, default=hashlib.md5(t.encode()).hexdigest())
+    """Independent documents are groups of texts by their shares of runs of three words; nothing of the engine is used."""
+    texts_ = sorted({t for t in texts if t is not None})
+    runs = [{tuple(w[i : i + 3]) for i in range(len(w))} for w in (t.lower().split() for t in texts_)]
+    near = [(i, j) for i in range(len(runs)) for j in range(i) if runs[i] and runs[j] and len(runs[i] & runs[j]) / len(runs[i] | runs[j]) >= 0.5]
+    doc, counts = closure(range(len(texts_)), near), defaultdict(set)
+    for i, t in enumerate(texts_):
         for line in t.split("\n"):
             for k in _templates(line):
-                counts[k].add(t)
-    drop = {k for k, ts in counts.items() if (n := len({sigs[t] for t in ts})) - line_templates.SLACK * (len(ts) - n) >= min_docs}
-    return [None if t is None else "\n".join(x for x in t.split("\n") if not drop & set(_templates(x))) for t in texts]
+                counts[k].add(doc[i])
+    gone = {k for k, ds in counts.items() if len(ds) >= min_docs}
+    return [None if t is None else "\n".join(x for x in t.split("\n") if not gone & _templates(x)) for t in texts]
 
 
 def test_line_templates_equal_brute_force(spark, frame, rng):
     texts = []
     for i in range(30):
-        own = [prose(rng, n=rng.randint(5, 30)) for _ in range(3)]
+        own = [prose(rng, n=rng.randint(25, 60)) for _ in range(3)]
         if i % 2:
             own.insert(1, f"Printed on page {i} of this very long report about the state of all our many things")
         if i % 3 == 0:
             w = words(rng, "en", 1)[0]
             own.append(f"Subscribe to our news letter now and get the best {w} offers every single day at home")
-        if i % 5 == 0:
-            own += ["All rights reserved", "", "x"]
+        if i % 3 == 1:
+            own.append(f"Read more about {words(rng, 'fr', 1)[0]} over here")
+        if i % 4 == 0:
+            own += ["All rights reserved", "", "x", "関連記事一覧", "12 34"]
         texts.append("\n".join(own))
-    near = "\n".join(prose(rng, n=20) for _ in range(6))
+    near = "\n".join(prose(rng, n=60) for _ in range(6))
     texts += [near.replace("the", f"the{i}", 1) for i in range(12)] + [texts[0]] * 15
     rows = [(i, t, "en") for i, t in enumerate(texts)] + ODD
-    out = line_templates.dedup(frame(rows), min_docs=6)
-    got = sorted([(str(r["doc_id"]), str(r["text"]), r["__n_dropped"] > 0) for r in out.collect()])
+    df = frame(rows).selectExpr("*", "1 as gone", "2 as th2", "3 as __drop", "4 as first")
+    out = line_templates.dedup(df, min_docs=6, counts=("lines_in", "lines_out"))
+    assert out.columns == [*df.columns, "lines_in", "lines_out"]
+    got = sorted([(str(r["doc_id"]), str(r["text"]), r["lines_out"] > 0) for r in out.collect()])
     want = brute_lines([t for _, t, _ in rows], 6)
     assert got == sorted([(str(i), str(w), w != t) for (i, t, _), w in zip(rows, want, strict=True)])
     text = {r[0]: r[1] for r in got}
-    assert "printed on page" not in text["1"].lower() and "subscribe" not in text["3"].lower()
+    assert "printed on page" not in text["1"].lower() and "subscribe" not in text["3"].lower() and "read more" not in text["1"].lower()
+    assert "関連" not in text["8"] and "\nx" not in text["8"] and "12 34" in text["8"]
     assert text["30"] == texts[30]  # lines of near copies and of copies stay
     assert line_templates.dedup(frame([])).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_line_templates_count_every_independent_document(spark, frame, rng):
+    vocabulary = words(rng, "en", 3000)
+    line = "Copyright of this page belongs to the makers of this page"
+    body = lambda: "\n".join(" ".join(rng.choices(vocabulary, k=30)) for _ in range(10))
+    for n in (9, 10, 20, 200, 2000):
+        texts = [body() + "\n" + line for _ in range(n)]
+        got = line_templates.dedup(frame([(i, t, "en") for i, t in enumerate(texts)]))
+        assert got.where(F.contains("text", F.lit("Copyright"))).count() == (n if n < 10 else 0)
+    half = " ".join(rng.choices(vocabulary, k=100))  # a passage as long as a third of each text changes nothing
+    texts = [body() + "\n" + half for _ in range(200)]
+    assert line_templates.dedup(frame([(i, t, "en") for i, t in enumerate(texts)])).where(F.contains("text", F.lit(half))).count() == 0
+    base = body().split(" ")
+    texts = []
+    for i in range(1000):  # near copies of one text count once, however many
+        w = list(base)
+        for j in rng.sample(range(len(w)), 5):
+            w[j] = w[j] if "\n" in w[j] else f"changed{i}x{j}"
+        texts.append(" ".join(w))
+    got = line_templates.dedup(frame([(i, t, "en") for i, t in enumerate(texts)]))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == dict(enumerate(texts))
