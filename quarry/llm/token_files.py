@@ -42,8 +42,9 @@ class WordEncoder:
     """``tokenizers`` encoding of whole texts, with a memo of chunks between white space.
 
     The vocabulary drops white space and never joins across it, so the ids of a text are those of its
-    chunks, one after the other. That holds for texts of the characters in ``PLAIN``, on which lower-casing
-    and normalisation act character by character; any other text goes to the library as a whole.
+    chunks, one after the other. That holds for texts without characters of ``OTHER`` (on the rest lower-casing
+    and normalisation act character by character) and without an added token of the vocabulary, in whatever
+    case; any other text goes to the library as a whole.
     """
 
     OTHER = re.compile("[^\\x20-\\x7e\\n\\t\\r\\xa0-\\u012f\\u0131-\\u024f]")
@@ -53,7 +54,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or "(?!)", re.I)
         self.memo: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -77,7 +78,7 @@ class WordEncoder:
             self.memo[c] = b"".join([parts[p] for p in x])
 
     def encode(self, text: str) -> bytes:
-        if self.OTHER.search(text):
+        if self.OTHER.search(text) or self.added.search(text):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
         memo = self.memo
