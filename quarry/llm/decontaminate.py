@@ -9,8 +9,11 @@ its window; before that a q-gram count (a necessary condition, so nothing is los
 Items come in blocks of at most ``block_chars`` folded characters; each block is one narrow pass over the
 texts with a broadcast of that bounded size, however many items there are.
 
-Results for odd input: null and empty texts match nothing; items that are null or shorter than ``min_chars``
-after folding are not searched (they occur in ordinary prose); items with equal text match alike; rows with
+Items shorter than ``min_chars`` after folding (k below 3) would be met by chance in ordinary prose; they are
+searched unchanged and as whole words.
+
+Results for odd input: null and empty texts match nothing; items that are null or empty after folding match
+nothing; items with equal text match alike; rows with
 null id give rows with null id; repeated rows give repeated results; empty tables give an empty result; other
 columns are ignored.
 """
@@ -102,7 +105,7 @@ class Pattern:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
         self.by: dict[str, list] = {}
@@ -112,6 +115,9 @@ class Matcher:
         self.ids = list(self.by.values())
         where: dict[str, list[tuple[int, int]]] = {}
         for i, p in enumerate(self.patterns):
+            if p.n < min_chars:
+                p.k, p.pieces = 0, [(0, p.text)]
+            p.words = p.n < min_chars
             for a, piece in p.pieces:
                 where.setdefault(piece, []).append((i, a))
         self.machine = ahocorasick.Automaton()
@@ -128,6 +134,10 @@ class Matcher:
             for i, offset in hits:
                 p = self.patterns[i]
                 at = end + 1 - size - offset  # where the item starts without edits before the piece
+                if p.words:
+                    if i not in found and text[at - 1 : at] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                        found[i] = (0, at, end + 1)
+                    continue
                 cell = (i, at // (p.k + 1))  # hits of one cell share a window
                 if cell in seen:
                     continue
@@ -145,14 +155,14 @@ class Matcher:
         return [(item, *got) for i, got in sorted(found.items()) for item in self.ids[i]]
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, min_chars: int, block_chars: int):
+def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int):
     """Folded items, a bounded number of characters at a time."""
     rows = items.select(items[id_col].cast("long").alias("id"), items[text_col].alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     for b in range(n):
         part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == b).collect()
-        folded = sorted((r["id"] is not None, r["id"] or 0, t) for r in part if len(t := fold(r["text"])) >= min_chars)
+        folded = sorted((r["id"] is not None, r["id"] or 0, t) for r in part if (t := fold(r["text"])))
         if folded:
             yield [(i if there else None, t) for there, i, t in folded]
 
@@ -169,11 +179,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(docs[id_col].alias("id"), whole(text_col).alias("text"))
     schema = MATCHES.format(kind=rows.schema["id"].dataType.simpleString())
     out = None
-    for block in blocks(items, item_col, item_text, min_chars, block_chars):
+    for block in blocks(items, item_col, item_text, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            match = Matcher(sent.value, error_rate)
+            match = Matcher(sent.value, error_rate, min_chars)
             size = {}
             for i, t in sent.value:
                 size[i] = len(t)
@@ -201,16 +211,16 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return out.withColumnRenamed("id", id_col)
 
 
-def flags(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, item_text: str = "text") -> DataFrame:
+def flags(docs: DataFrame, items: DataFrame, text_col: str = "text", error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found, all columns as they came; narrow."""
     spark, schema = docs.sparkSession, docs.schema
     at = docs.columns.index(text_col)
     out = docs
-    for block in blocks(items, items.columns[0], item_text, min_chars, block_chars):
+    for block in blocks(items, item_col, item_text, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            match = Matcher(sent.value, error_rate)
+            match = Matcher(sent.value, error_rate, min_chars)
             for batch in batches:
                 clean = [not (t and match(fold(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

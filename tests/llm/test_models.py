@@ -49,19 +49,24 @@ ITEMS = "item_id long, text string, id int"
 def test_decontaminate_rows(spark, frame, rng):
     items = [(i, prose(rng, n=30), 0) for i in range(8)] + [(8, None, 0), (9, "short", 0), (10, "", 0)]
     items.append((11, items[0][1], 0))
+    items += [(20, "Who wrote Hamlet?", 0), (21, "a" * 23, 0), (22, "b" * 24, 0), (23, "名前", 0)]
     rows = [(i, prose(rng, n=60), "en") for i in range(30)] + ODD
     for i in range(6):
         w = items[i][1].split(" ")
         w[3] = "zz"
         rows.append((100 + i, prose(rng, n=40) + "\n" + (items[i][1].upper() if i % 2 else " ".join(w)) + " " + prose(rng, n=40), "en"))
     table = spark.createDataFrame(items, ITEMS)
+    short = {200: "They asked: who wrote HAMLET; nobody knew", 201: "who wrote hamlets", 202: "who wrote amlet", 203: "x " + "a" * 23, 204: "a" * 24, 205: "a" * 22, 206: "z " + "b" * 23 + " z", 207: "名前", 208: "名前は", 209: "short"}
+    rows += [(i, t, "en") for i, t in short.items()]
     got = decontaminate.find(frame(rows), table).collect()
-    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(100 + i, i) for i in range(6)] + [(100, 11)])
-    assert all(r["distance"] == 0 for r in got if r["doc_id"] % 2)
+    few = [(200, 20), (203, 21), (206, 22), (207, 23), (209, 9)]  # below 24 characters: unchanged and whole words; from there on: one edit in ten
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted([(100 + i, i) for i in range(6)] + [(100, 11), *few])
+    assert all(fold[r["start"] : r["end"]] == decontaminate.fold(dict((i, t) for i, t, _ in items)[r["item_id"]]) for r in got if r["doc_id"] in (200, 203, 207, 209) for fold in [decontaminate.fold(short[r["doc_id"]])])
+    assert all(r["distance"] == 0 for r in got if r["doc_id"] % 2 and r["doc_id"] < 200)
     blocked = decontaminate.find(frame(rows), table, block_chars=200).collect()
     assert sorted(map(tuple, blocked)) == sorted(map(tuple, got))
     clean = decontaminate.flags(frame(rows), table)
-    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, _, _ in rows if not (i and 100 <= i < 106))
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(i) for i, _, _ in rows if not (i and (100 <= i < 106 or i in dict(few))))
     assert clean.columns == frame(rows).columns
     assert decontaminate.find(frame(rows), spark.createDataFrame([], ITEMS)).count() == 0 and decontaminate.find(frame([]), table).count() == 0
 
@@ -194,7 +199,7 @@ def test_pipeline(spark):
         docs = new
     items = [decontaminate.fold(r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert not [i for i, t in rows.items() if any(x in decontaminate.fold(t) for x in items if len(x) >= 24)]
+    assert not [i for i, t in rows.items() if any(x in decontaminate.fold(t) for x in items)]
     assert len({t for t in rows.values() if t}) == len([t for t in rows.values() if t])
     got = pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     want = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_numpy.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
