@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -150,6 +151,34 @@ def test_langid_odd_rows(spark, frame, rng):
     assert langid_zstd.predict(frame([]), contents).count() == 0
 
 
+def test_langid_equals_brute_force(spark, frame, rng):
+    """Sizes of each language's own frames, for short and long texts alike, by plain calls of the library."""
+    import zstandard as z
+
+    rows = [(i, prose(rng, lang, 80), lang) for i, lang in enumerate(["en", "fr", "de", "es"] * 10)]
+    rows += [(100 + i, " ".join(prose(rng, lang, n) for lang in ("de", "es")), None) for i, n in enumerate([1, 2, 5, 60, 70, 80, 400, 3000])]
+    contents = langid_zstd.train(frame(rows))
+    params = z.ZstdCompressionParameters.from_level(langid_zstd.LEVEL, format=z.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0, min_match=3)
+    for r in langid_zstd.predict(frame(rows), contents).collect():
+        raw = re.sub(r"[\W\d_]+", " ", dict((i, t) for i, t, _ in rows)[r["doc_id"]].lower()).strip().encode()
+        size = {}
+        for lang, content in contents.items():
+            c = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
+            size[lang] = sum(len(c.compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096))
+        assert r["lang_pred"] == min(size, key=lambda x: (size[x], x))
+        first, second = sorted(size.values())[:2]
+        assert r["rejected"] == (1 - first / second < 0.01) == (r["score"] < 0.5)
+
+
+def test_langid_trains_on_whole_texts(spark, frame, rng):
+    texts = [prose(rng, "fr", n) for n in (40, 60, 20_000, 50)]
+    rows = [(i, t, "fr") for i, t in enumerate(texts)]
+    content = langid_zstd.train(frame(rows), dict_bytes=sum(map(len, texts[:2])) + 200)["fr"]
+    held = [t for t in texts if langid_zstd.fold(t) in content]
+    assert texts[2] not in held and len(held) >= 2 and len(content) == sum(len(langid_zstd.fold(t)) + 1 for t in held) - 1
+    assert langid_zstd.train(frame([rows[2]]), dict_bytes=100) == {"fr": langid_zstd.fold(texts[2])}
+
+
 def test_quality_held_out(spark):
     got = queries.op10_quality_fm(spark, DATA).toPandas().merge(spark.read.parquet(f"{DATA}/labels.parquet").toPandas())
     held = got[got.held_out]
