@@ -94,27 +94,69 @@ URLS = [
 ]
 
 
-def test_urls(spark):
-    rng = random.Random(1)
-    bad = ["cheap-pills", "free-bets", "casino-win"]
-    rows = [(i, u, "<p>the of and cheap pills free bets casino win</p>" * 3, 1) for i, u in enumerate(URLS)]
+def _url_rows(rng):
+    """Pages without prose stand behind names with some words, pages with prose behind others."""
+    good, bad = [f"{x}{y}" for x in ("river", "stone", "maple") for y in ("garden", "letter")], [f"{x}-{y}" for x in ("lucky", "quick") for y in ("parcel", "ticket")]
+    spoken = "the garden by the river has a stone wall and a maple tree where letter and parcel wait with a lucky ticket for a quick walk "
+    rows = [(i, u, f"<p>{spoken}</p>", 1) for i, u in enumerate(URLS)]
     for i in range(300):
-        name = rng.choice(bad) if i % 5 == 0 else rng.choice(["theand", "ofthe", "andof", "thethe"])
-        rows.append((1000 + i, f"http://{name}.example.org/fr/{i}", None if i % 7 else "<script>var a</script><b>the of and</b>", 2))
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, id int")
+        thin = i % 5 == 0
+        text = rng.choice(["<a href=x>" + spoken + "</a>", "quick " * 30, "| parcel # garden | " * 20, "ticket", "<script>" + spoken + "</script>"]) if thin else spoken * rng.randint(1, 3)
+        rows.append((1000 + i, f"http://{rng.choice(bad if thin else good)}.example.org/fr/{i}", f"<!-- x --><b>{text}</b>", 2))
+    rows += [(2000, "http://lucky-stone.example.org/fr/", None, 0), (2001, None, None, 0), (2002, "http://ticketparcel.example.edu/a", "<p>" + spoken, 0), (2003, "http://mapleriver.example.edu/a", "", 0)]
+    return rows
+
+
+def brute_odds(rows):
+    """(log odds, words) of each url by the definition: all splits of every name, counts by plain loops."""
+    counts, bad = {}, []
+    for _, _, html, _ in rows:
+        text = re.sub(r"(?is)<script.*?</script>|<!--.*?-->|<[^>]*>", " ", html or "")
+        own = re.findall(r"[^\W\d_]{2,}", text.lower())
+        for w in own:
+            counts[w] = counts.get(w, 0) + 1
+        linked = sum(len(re.findall(r"[^\W\d_]{2,}", x)) for x in re.findall(r"(?s)<a [^>]*>(.*?)</a>", html or ""))
+        bad.append(None if html is None else len(own) < 20 or len(re.findall(r"[|#]", text)) > 0.25 * len(own) or max(own.count(w) for w in set(own)) > 0.25 * len(own) or linked > 0.5 * len(own))
+    total = sum(counts.values())
+
+    def cost(w):
+        return math.log(counts[w] / total) if w in counts else -12.0 - 2.5 * len(w)
+
+    def best(name):  # by recursion over the first word
+        if name not in memo:
+            memo[name] = max(((cost(name[:k]) + best(name[k:])[0], -k, [name[:k], *best(name[k:])[2]]) for k in range(1, len(name) + 1)), default=(0.0, 0, []))
+        return memo[name]
+
+    memo = {}
+    words = [[w for n in re.findall(r"[^\W\d_]+", h + " " + p.lower()) for w in best(n)[2] if w in counts] for h, p in (split(r[1]) for r in rows)]
+    seen = {w for ws, b in zip(words, bad, strict=True) if b is not None for w in ws}
+    n = {(w, c): 0 for w in seen for c in (True, False)}
+    for ws, b in zip(words, bad, strict=True):
+        for w in ws:
+            if b is not None:
+                n[w, b] += 1
+    sums = {c: sum(v for (_, d), v in n.items() if d == c) for c in (True, False)}
+    odds = {w: math.log((n[w, True] + 0.1) / (sums[True] + 0.1 * len(seen))) - math.log((n[w, False] + 0.1) / (sums[False] + 0.1 * len(seen))) for w in seen}
+    prior = math.log((bad.count(True) + 1) / (bad.count(False) + 1))
+    return [(prior + sum(odds[w] for w in ws if w in odds) if any(w in odds for w in ws) else None, [w for w in ws if w in odds]) for ws in words]
+
+
+def test_urls(spark):
+    rows = _url_rows(random.Random(1))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, id int").selectExpr("*", "'h' as host", "1 as n", "2 as word")
     got = {r["page_id"]: r for r in url_filter.judge(df, queries.URL_RULES).collect()}
     assert len(got) == len(rows)
-    for i, u, *_ in rows:
+    want = brute_odds(rows)
+    for (i, u, *_), (score, words) in zip(rows, want, strict=True):
         host, path = split(u)
         name, verdict = rule(host, path)
         r = got[i]
-        assert (r["host"], r["path"], r["rule"]) == (host, path, name), u
-        if verdict:
-            assert r["verdict"] == verdict
-        elif i >= 1000:
-            assert r["verdict"] == ("block" if any(b in u for b in bad) else "allow"), u
-    assert got[15]["verdict"] == "block" and "pills" in got[15]["words"]
-    assert got[8]["verdict"] == "allow"
+        assert (r["host"], r["path"], r["rule"], r["words"]) == (host, path, name, words), u
+        assert (r["log_odds"] is None and score is None) or math.isclose(r["log_odds"], score, abs_tol=1e-9), u
+        assert r["verdict"] == (verdict or ("block" if score is not None and score > 0 else "allow")), u
+    # names whose words were learned from other urls
+    assert got[2002]["verdict"] == "block" and got[2003]["verdict"] == "allow" and got[2002]["words"][:2] == ["ticket", "parcel"]
+    assert all(r["verdict"] == ("allow" if i % 5 else "block") for i in range(300) for r in [got[1000 + i]])
     assert url_filter.judge(df.where("false"), queries.URL_RULES).count() == 0
 
 
@@ -128,7 +170,7 @@ def test_viterbi_equals_all_splits(name):
         return [[]] if not s else [[s[:k], *rest] for k in range(1, len(s) + 1) for rest in all_(s[k:])]
 
     best = max(sum(map(cost, w)) for w in all_(name))
-    assert math.isclose(sum(map(cost, url_filter.Segmenter(logp).split(name))), best)
+    assert math.isclose(sum(map(cost, url_filter.split(name, logp))), best)
 
 
 # -- operators 9 and 10 -------------------------------------------------------------------------
