@@ -1,24 +1,31 @@
 """Suffix dedup by bucket-pointer refinement (operator 6).
 
 Removed is each byte covered by a string of ``length`` bytes that starts anywhere else as well. Bucket-pointer
-refinement sorts suffixes into buckets by their first q bytes and refines a bucket by the bucket identifiers
-that its members have at later offsets; identifiers once found serve all other refinements. Here bucket
-identifiers are 64-bit hashes of the text they stand for, so they are the same on all machines and an
-identifier at a later offset is a lookup in the document's own prefix sums. Only buckets of two members or
-more are refined further:
+refinement puts suffixes into buckets by their first q bytes and refines a bucket by the bucket identifiers
+that its members have at later offsets; refined identifiers serve all further refinements, so the depth to
+which suffixes are told apart doubles each time. Suffixes alone in their bucket are done.
 
-1. q-grams. Of each window of ``length`` bytes its leftmost q-gram of least hash is its anchor: equal windows
+An identifier is a name (a 64-bit hash) instead of a rank, as only equality matters here and names are the same
+on all machines: the bucket of depth 8 is the first 8 bytes themselves, and the bucket of depth d + k is the
+name of the pair of buckets of depth d at offsets 0 and k <= d (:class:`Buckets`). Sorting a bucket's members
+on the identifiers at later offsets is Spark's exchange and aggregation by them. Depth stops at ``length``.
+
+Not all suffixes are refined one by one:
+
+1. Of each window of ``length`` bytes the leftmost suffix of least bucket at depth q is its anchor: equal windows
    have equal anchors, and there are about 2 / (length - q + 2) anchors a byte. Anchors alone in their bucket
    are dropped with all their windows.
-2. Blocks. The windows of an anchor are taken ``BLOCK`` neighbouring offsets at a time. The bytes that all
-   windows of a block share (core) and the bytes that any has (union) identify it: a core of its own means
-   that none is repeated; one union for the whole bucket means that all are.
-   Members with a union that another one has are all repeated; one of them stands for them in step 3.
-3. Windows, for the blocks that are left (at the ends of repeated passages); 128-bit identifiers.
-
-From step 2 on only texts with repeated anchors are looked at. Equal texts go through the steps once; a text
-held by several rows is repeated as a whole. Texts are shuffled once, to meet their repeated anchors. No bucket is gathered: steps are aggregations with
-partial results and joins back.
+2. The windows of the anchors that are left are refined in groups of neighbouring offsets, of ``widths[0]`` first.
+   A group's core (the bytes that all its windows share) is refined by the identifiers further on to its union
+   (the bytes that any of them has). Groups alone in their core's bucket are done, none of their windows is
+   repeated. Groups with a union that another one has are done, all are; one of them goes on for the others.
+3. What is left (where repeated passages end) is cut into groups of the next width and refined again, down to
+   single windows, whose core and union are the window.
+
+From step 2 on only texts with repeated anchors are looked at; cores, unions and windows of a text share its
+identifiers. Windows are told apart by 128 bits. Equal texts go through the steps once; a text held by several
+rows is repeated as a whole. No bucket is gathered: steps are aggregations with partial results and joins back,
+each with an exchange of its own, so that Spark can split a hot bucket.
 
 Results for odd input: null texts are empty texts; texts shorter than ``length`` are repeated nowhere; ids may
 be null or repeat (each row counts as a document); an empty table gives an empty result; other columns are
@@ -28,6 +35,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +46,52 @@ from quarry.llm.common import drop, store, whole
 
 LENGTH = 400
 Q = 200
-BLOCK = 25
+#: Neighbouring windows that are refined together, from round to round.
+WIDTHS = (25, 5, 1)
 #: Windows looked at at once; bounds the memory that a long text takes.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 POS_BITS = np.uint64(24)
 
-_rng = np.random.default_rng(13)
-TABLE = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-INVERSE = tuple(np.uint64(pow(b, -1, 1 << 64)) for b in BASE)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if k not in _POWERS or len(_POWERS[k][0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        _POWERS[k] = tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (np.uint64(BASE[k]), INVERSE[k]))
-    return _POWERS[k]
-
-
-class Prefix:
-    """Hashes of any substrings of some bytes: polynomial prefix sums modulo 2**64, then mixed."""
-
-    def __init__(self, raw: np.ndarray, k: int = 0):
-        power, self.inverse = _powers(k, len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(TABLE[k][raw] * power[: len(raw)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
+#: Bytes of the first buckets, which are named by themselves.
+FIRST = 8
+MIX = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9), (0xD1342543DE82EF95, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
+
+class Buckets:
+    """Bucket identifiers of all suffixes of some bytes (at least FIRST), by depth; each depth is refined once and reused."""
+
+    def __init__(self, raw: np.ndarray, seed: int = 0):
+        self.mix = [np.uint64(x) for x in MIX[seed]]
+        first = np.lib.stride_tricks.as_strided(np.ascontiguousarray(raw).view(np.uint8), (len(raw) - FIRST + 1, FIRST), (1, 1))
+        self.at_depth = {FIRST: np.ascontiguousarray(first).view("<u8").ravel()}
+
+    def _named(self, own: np.ndarray, later: np.ndarray) -> np.ndarray:
+        """Names of pairs of identifiers."""
+        x, y, z = self.mix
+        name = own * x
+        name ^= name >> np.uint64(32)
+        name += later * y
+        name ^= name >> np.uint64(29)
+        name *= z
+        name ^= name >> np.uint64(32)
+        return name
+
+    def refined(self, depth: int) -> np.ndarray:
+        """Identifiers of the suffixes' first ``depth`` bytes: a refinement by those at a later offset."""
+        if depth not in self.at_depth:
+            half = FIRST
+            while 2 * half < depth:
+                half *= 2
+            ids = self.refined(half)
+            self.at_depth[depth] = self._named(ids[: len(ids) - (depth - half)], ids[depth - half :])
+            for d in [d for d in self.at_depth if d < half]:  # no further refinement goes back to those
+                del self.at_depth[d]
+        return self.at_depth[depth]
+
+    def union(self, start: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+        """Identifiers of the bytes from ``start`` to ``depth`` bytes after ``end``, which is less than ``depth`` further on."""
+        ids = self.refined(depth)
+        return np.where(start == end, ids[start], self._named(ids[start], ids[end]))
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -87,9 +109,8 @@ def anchors(raw: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarr
     out = []
     for lo in range(0, max(len(raw) - length + 1, 0), CHUNK):
         part = raw[lo : lo + CHUNK + length - 1]
-        prefix = Prefix(part)
-        at = np.arange(len(part) - q + 1)
-        gram = prefix(at, at + q)
+        gram = Buckets(part).refined(q)
+        at = np.arange(len(gram))
         key = gram & ~np.uint64((1 << int(POS_BITS)) - 1) | at.astype(np.uint64)  # least hash, then leftmost
         own = (_sliding_min(key, length - q + 1) & np.uint64((1 << int(POS_BITS)) - 1)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -128,91 +149,86 @@ def _anchor_table(keyed: DataFrame, length: int, q: int) -> DataFrame:
     return store(rows.groupBy("th1", "th2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("gram").alias("gram"), F.first("mark").alias("mark")), "anchors")
 
 
-def _unpack(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, least offset, greatest offset)."""
-    return marks >> 24, marks >> 12 & 4095, marks & 4095
-
-
-def _texts(keyed: DataFrame, table: DataFrame) -> DataFrame:
-    """(th1, th2, text, marks) of the texts with repeated anchors; marks are those anchors'."""
+def _texts(keyed: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(th1, th2, text) of the texts with repeated anchors, and (th1, th2, groups) of those anchors' windows, stored."""
     marks = table.select("th1", "th2", F.explode(F.arrays_zip("gram", "mark")).alias("m")).select("th1", "th2", "m.gram", "m.mark")
-    grams = marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    live = marks.join(grams, "gram", "left_semi").groupBy("th1", "th2").agg(F.collect_list("mark").alias("marks"))
-    live = live.join(table.select("th1", "th2", "rep"), ["th1", "th2"]).withColumnsRenamed({"th1": "t1", "th2": "t2"})
+    grams = store(marks.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
+    least, most = F.shiftright("mark", 12).bitwiseAND(4095).cast("int"), F.col("mark").bitwiseAND(4095).cast("int")
+    group = F.struct(F.shiftright("mark", 24).cast("int").alias("at"), least.alias("a"), most.alias("b"))
+    live = store(marks.join(grams, "gram", "left_semi").groupBy("th1", "th2").agg(F.collect_list(group).alias("groups")), "live")
+    named = live.select("th1", "th2").join(table.select("th1", "th2", "rep"), ["th1", "th2"]).withColumnsRenamed({"th1": "t1", "th2": "t2"})
     # the representative's id is part of the key, so copies of a text do not meet in one task
-    own = keyed.join(live, [F.col("id").eqNullSafe(F.col("rep")), F.col("th1") == F.col("t1"), F.col("th2") == F.col("t2")])
-    return store(own.select("th1", "th2", "text", "marks").dropDuplicates(["th1", "th2"]), "texts")
-
-
-def _blocks(texts: DataFrame, length: int, block: int) -> DataFrame:
-    """(th1, th2, s, e, t, core, u1, u2): windows starting in [s, e], offsets of block t from their anchor."""
-
-    def run(batches):
-        for batch in batches:
-            for th1, th2, text, marks in zip(*[batch.column(c).to_pylist() for c in ("th1", "th2", "text", "marks")], strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                p1, p2 = Prefix(raw, 0), Prefix(raw, 1)
-                at, o1, o2 = _unpack(np.sort(np.array(marks, np.int64)))
-                n = o2 // block - o1 // block + 1
-                own = np.repeat(np.arange(len(at)), n)
-                t = o1[own] // block + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                a, b = np.maximum(t * block, o1[own]), np.minimum(t * block + block - 1, o2[own])
-                core = p1(at[own] - t * block, at[own] - t * block - block + 1 + length)
-                start, end = at[own] - b, at[own] - a
-                # the offsets that the block has of its anchor are part of the union's identity
-                u1, u2 = (p(start, end + length) ^ (a * 4096 + b).astype(np.uint64) for p in (p1, p2))
-                m = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(m, th1)), pa.array(np.full(m, th2)), *[pa.array(x, pa.int32()) for x in (start, end, t)], *[pa.array(x.view(np.int64)) for x in (core, u1, u2)]],
-                    ["th1", "th2", "s", "e", "t", "core", "u1", "u2"],
-                )
-
-    return store(texts.mapInArrow(run, "th1 long, th2 long, s int, e int, t int, core long, u1 long, u2 long"), "blocks")
-
-
-def _windows(texts: DataFrame, mixed: DataFrame, length: int) -> DataFrame:
-    """(th1, th2, p, w1, w2) of each window of the blocks in ``mixed`` (th1, th2, s, e)."""
+    own = keyed.join(named, [F.col("id").eqNullSafe(F.col("rep")), F.col("th1") == F.col("t1"), F.col("th2") == F.col("t2")])
+    texts = store(own.select("th1", "th2", "text").dropDuplicates(["th1", "th2"]), "texts")
+    drop(grams)
+    return texts, live
+
+
+def _members(texts: DataFrame, groups: DataFrame, length: int, width: int) -> DataFrame:
+    """(th1, th2, at, a, b, t, core, u1, u2): group t of ``width`` offsets has its windows a to b before anchor ``at``. groups: (th1, th2, groups)."""
+
+    def named(raw: np.ndarray, at: np.ndarray, o1: np.ndarray, o2: np.ndarray) -> list[np.ndarray]:
+        one, two = (Buckets(raw, seed) for seed in (0, 1))
+        n = o2 // width - o1 // width + 1
+        own = np.repeat(np.arange(len(at)), n)
+        t = o1[own] // width + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        a, b, at = np.maximum(t * width, o1[own]), np.minimum(t * width + width - 1, o2[own]), at[own]
+        core = one.refined(length - width + 1)[at - t * width]
+        # the offsets that the group has of its anchor are part of the union's identity
+        u1, u2 = (x.union(at - b, at - a, length) ^ (a * 4096 + b).astype(np.uint64) for x in (one, two))
+        return [at, a, b, t, core, u1, u2]
 
     def run(batches):
         for batch in batches:
-            for th1, th2, text, spans in zip(*[batch.column(c).to_pylist() for c in ("th1", "th2", "text", "spans")], strict=True):
+            for th1, th2, text, held in zip(*[batch.column(c).to_pylist() for c in ("th1", "th2", "text", "groups")], strict=True):
                 raw = np.frombuffer(text.encode(), np.uint8)
-                p = np.unique(np.concatenate([np.arange(m["s"], m["e"] + 1) for m in spans]))
-                w1, w2 = (Prefix(raw, i)(p, p + length).view(np.int64) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), th1)), pa.array(np.full(len(p), th2)), pa.array(p, pa.int32()), pa.array(w1), pa.array(w2)], ["th1", "th2", "p", "w1", "w2"])
+                at, o1, o2 = np.array([(g["at"], g["a"], g["b"]) for g in held], np.int64).T
+                for c in np.unique(at // CHUNK):
+                    mine, lo = at // CHUNK == c, max(0, int(c) * CHUNK - length)
+                    x = named(raw[lo : (int(c) + 1) * CHUNK + 2 * length], at[mine] - lo, o1[mine], o2[mine])
+                    x[0] += lo
+                    m = len(x[0])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(m, th1)), pa.array(np.full(m, th2)), *[pa.array(y, pa.int32()) for y in x[:4]], *[pa.array(y.view(np.int64)) for y in x[4:]]],
+                        ["th1", "th2", "at", "a", "b", "t", "core", "u1", "u2"],
+                    )
 
-    spans = mixed.groupBy("th1", "th2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return texts.select("th1", "th2", "text").join(spans, ["th1", "th2"]).mapInArrow(run, "th1 long, th2 long, p int, w1 long, w2 long")
+    return store(texts.join(groups, ["th1", "th2"]).mapInArrow(run, "th1 long, th2 long, at int, a int, b int, t int, core long, u1 long, u2 long"), "members")
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, length: int = LENGTH, q: int = Q, widths: tuple[int, ...] = WIDTHS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """((th1, th2) of the texts that several rows hold, (th1, th2, text, spans) of those that hold repeated strings).
 
     Spans are structs [s, e) in order; they may touch and overlap.
     """
-    if length - q >= 4096 or block > length - q:
-        raise ValueError("length - q must lie between block and 4095")
+    if length - q >= 4096 or widths[0] > length - q or widths[-1] != 1 or q < FIRST:
+        raise ValueError(f"q must be at least {FIRST}, length - q lie between the first width and 4095, the last width be 1")
     keyed = _keyed(docs, id_col, text_col)
     table = _anchor_table(keyed, length, q)
     copied = store(table.where("n > 1").select("th1", "th2"), "copied")
-    texts = _texts(keyed, table)
+    texts, groups = _texts(keyed, table)
     drop(table)
-    blocks = _blocks(texts, length, block)
-    place = F.struct("th1", "th2", "s", "e")
-    unions = store(blocks.groupBy("t", "core", "u1", "u2").agg(F.count("*").alias("n"), F.min(place).alias("rep")), "unions")
-    buckets = unions.groupBy("t", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("t", "core")
-    mixed = unions.join(buckets, ["t", "core"], "left_semi").select("rep.*")
-    windows = store(_windows(texts, mixed, length), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    one = windows.join(twice, ["w1", "w2"], "left_semi").select("th1", "th2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
-    same = blocks.join(unions.where("n > 1").select("t", "core", "u1", "u2"), ["t", "core", "u1", "u2"], "left_semi").select("th1", "th2", "s", (F.col("e") + length).alias("e"))
-    spans = same.unionByName(one).groupBy("th1", "th2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    out = store(texts.select("th1", "th2", "text").join(spans, ["th1", "th2"]), "spans")
-    drop(texts, blocks, unions, windows)
+    found = []
+    for width in widths:
+        members = _members(texts, groups, length, width)
+        drop(groups)
+        unions = store(members.groupBy("t", "core", "u1", "u2").agg(F.count("*").alias("n"), F.min(F.struct("th1", "th2", "at", "a", "b")).alias("rep")), "unions")
+        same = members.join(unions.where("n > 1").select("t", "core", "u1", "u2"), ["t", "core", "u1", "u2"], "left_semi")
+        found.append(store(same.select("th1", "th2", F.struct((F.col("at") - F.col("b")).alias("s"), (F.col("at") - F.col("a") + length).alias("e")).alias("span")), "spans"))
+        drop(members)
+        if width > 1:
+            mixed = store(unions.groupBy("t", "core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("t", "core"), "mixed")
+            left = unions.join(mixed, ["t", "core"], "left_semi").select("rep.*")
+            groups = store(left.groupBy("th1", "th2").agg(F.collect_list(F.struct("at", "a", "b")).alias("groups")), "groups")
+            drop(mixed)
+        drop(unions)
+    spans = reduce(DataFrame.unionByName, found).groupBy("th1", "th2").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    out = store(texts.join(spans, ["th1", "th2"]), "spans")
+    drop(texts, *found)
     return copied, out
 
 
-def cut(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
+def cut(docs: DataFrame, length: int = LENGTH, q: int = Q, widths: tuple[int, ...] = WIDTHS, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_bytes`` the remaining bytes as ``kept``)."""
 
     def run(batches):
@@ -233,7 +249,7 @@ def cut(docs: DataFrame, length: int = LENGTH, q: int = Q, block: int = BLOCK, i
                 kept.append(rest if with_bytes else None)
             yield pa.RecordBatch.from_arrays([batch.column("th1"), batch.column("th2"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["th1", "th2", "removed", "spans", "sha", "kept"])
 
-    copied, found = repeated(docs, length, q, block, id_col, text_col)
+    copied, found = repeated(docs, length, q, widths, id_col, text_col)
     # one row a text: a text that several rows hold goes as a whole, whatever its spans
     some = found.join(copied, ["th1", "th2"], "left_anti").mapInArrow(run, "th1 long, th2 long, removed long, spans long, sha string, kept binary")
     empty = hashlib.sha256(b"").hexdigest()

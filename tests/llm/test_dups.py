@@ -124,12 +124,27 @@ def test_suffix_dedup_equals_brute_force(spark, frame, rng):
         texts.append(t)
     texts += [texts[0], texts[0], "ab" * 90, "a" * 150, "xab" + "ab" * 60, "é" * 100, "word " * 40]
     rows = [(i, t, "en") for i, t in enumerate(texts)] + ODD
-    got = suffix_dedup.cut(frame(rows), length=40, q=20, block=5).collect()
+    got = suffix_dedup.cut(frame(rows), length=40, q=20, widths=(6, 1)).collect()
     want = brute_cut([t for _, t, _ in rows], 40)
     key = lambda r: str((r[0], r[1], r[4]))
     assert sorted([(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in got], key=key) == sorted([(i, *w) for (i, _, _), w in zip(rows, want, strict=True)], key=key)
 
 
+def test_buckets_tell_strings_apart(rng):
+    raw = np.frombuffer(("ab" * 60 + prose(rng, n=60) + "x" * 90).encode() * 2, np.uint8)
+    ids = suffix_dedup.Buckets(raw)
+    for depth in (8, 9, 16, 20, 37, 64, 100):
+        got, want = ids.refined(depth), [raw[p : p + depth].tobytes() for p in range(len(raw) - depth + 1)]
+        assert len(got) == len(want) and len(set(zip(got.tolist(), want, strict=True))) == len(set(got.tolist())) == len(set(want))
+
+
+def test_suffix_dedup_at_production_size(spark, frame, rng):
+    passages = [prose(rng, n=n) for n in (40, 90, 150)]
+    rows = [(i, prose(rng, n=rng.randint(20, 200)) + passages[i % 3][: rng.randint(200, 900)] + prose(rng, n=50), "en") for i in range(60)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.cut(frame(rows), with_bytes=False).collect()}
+    assert got == {i: w[:4] for (i, *_), w in zip(rows, brute_cut([t for _, t, _ in rows], 400), strict=True)} and any(r[1] for r in got.values())
+
+
 def test_suffix_dedup_in_chunks(monkeypatch, rng):
     raw = np.frombuffer(prose(rng, n=900).encode(), np.uint8)
     whole = suffix_dedup.anchors(raw, 40, 20)
@@ -140,6 +155,19 @@ def test_suffix_dedup_in_chunks(monkeypatch, rng):
     assert len(suffix_dedup.anchors(raw[:39], 40, 20)[0]) == 0
 
 
+def test_suffix_dedup_of_long_texts(spark, frame, rng, monkeypatch):
+    real, text = suffix_dedup._members, prose(rng, n=2500)
+
+    def in_chunks(texts, groups, length, width):  # CHUNK travels with the function that runs on the executors
+        monkeypatch.setitem(real.__globals__, "CHUNK", 2000)
+        return real(texts, groups, length, width)
+
+    monkeypatch.setattr(suffix_dedup, "_members", in_chunks)
+    rows = [(0, text, "en"), (1, text[900:1950] + "x" + text[3000:7100] + "y" + text[3500:5000], "en")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.cut(frame(rows), length=100, q=50, with_bytes=False).collect()}
+    assert got == {i: w[:4] for (i, *_), w in zip(rows, brute_cut([t for _, t, _ in rows], 100), strict=True)}
+
+
 def test_suffix_dedup_of_nothing(spark, frame):
     assert suffix_dedup.cut(frame([])).count() == 0
 
