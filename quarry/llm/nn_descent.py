@@ -4,12 +4,17 @@ Equal vectors form one node. The neighbour graph starts from neighbours in sever
 hyperplane codes and is refined by local joins: the neighbours of a node, forward and reverse, are compared
 with each other, and a pair replaces the worst neighbour of either end if it is closer. Rounds go on until
 one finds no new pair above the threshold. Lists hold ``k`` neighbours; a node whose list is full of pairs
-above the threshold is saturated. A pair that local joins discard has two saturated ends, so all saturated
-nodes of different components are compared with each other, in blocks, and components that link are merged.
-Then each list is enlarged to the node's whole component, compared in blocks, in double precision (components
-of three nodes or more are treated so, which also closes their triangles). Recall is audited against brute
-force for up to ``audit`` nodes, as the mean of the nodes' own shares; below ``recall`` all lists are doubled
-and refined again.
+above the threshold is saturated. The lists of saturated nodes are doubled and, with the pairs of the orders
+once more, refined again, up to ``widest`` neighbours. A pair that local joins discard has two saturated ends,
+so all nodes that were saturated are compared across the components that result, in blocks, and components
+that link are merged. Recall is audited against brute force for up to ``audit`` nodes, as the mean of the nodes' own
+shares; below ``recall`` all lists start from twice the size, and where that does not help either after
+``tries`` times, all nodes are compared across components in blocks, which misses nothing.
+
+Links are then counted within components, in double precision. Two vectors at angles p and q to a centre of
+their component are surely linked if p + q is no more than the threshold's angle, and surely not if p and q
+differ by more; components are cut into shells by that angle, and only pairs of shells of which neither holds
+are compared, in blocks. Copies with some noise thus cost a count however many they are.
 
 Nodes' lists are bounded; top-k filters run before the shuffles; nothing but the audit's nodes is broadcast.
 
@@ -31,6 +36,8 @@ from quarry.llm.graph import components
 
 THRESHOLD = 0.95
 K = 8
+WIDEST = 64
+TRIES = 2
 ORDERS = 12
 NEXT = 3
 #: Single-precision products this far below the threshold are looked at again in double precision.
@@ -38,6 +45,9 @@ SLACK = 1e-4
 BLOCK = 512
 #: Saturated nodes in a block of the search across components.
 WIDE_BLOCK = 2048
+#: Shells within the threshold's angle; angles this close to a bound are looked at pair by pair.
+SHELLS = 8
+MARGIN = 1e-6
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -101,11 +111,25 @@ def _start(units: DataFrame) -> DataFrame:
     return rows.repartitionByRange("t", "code", "node").sortWithinPartitions("t", "code", "node").select("t", "node", "unit").mapInArrow(run, EDGES)
 
 
-def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k closest neighbours of each node; Spark limits the groups before the shuffle as well."""
+def _top(edges: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """The closest neighbours of each node: k, or what ``wide`` (u, room) says, ``most`` at most; Spark limits the groups before the shuffle as well."""
     best = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+    out = best.withColumn("rank", rank).where(F.col("rank") <= max(k, most))
+    if wide is not None:
+        out = out.join(wide, "u", "left").where(F.col("rank") <= F.coalesce("room", F.lit(k))).drop("room")
+    return out.drop("rank")
+
+
+def _room(graph: DataFrame, k: int, wide: DataFrame | None) -> DataFrame:
+    """(u, m, worst, room): the length of each list, its least similarity and its room."""
+    size = graph.groupBy("u").agg(F.count("*").alias("m"), F.min("sim").alias("worst"))
+    return size.withColumn("room", F.lit(k)) if wide is None else size.join(wide, "u", "left").withColumn("room", F.coalesce("room", F.lit(k)))
+
+
+def _saturated(graph: DataFrame, k: int, wide: DataFrame | None, threshold: float) -> DataFrame:
+    """(u, room) of the nodes whose lists are full of pairs above the threshold."""
+    return _room(graph, k, wide).where((F.col("m") >= F.col("room")) & (F.col("worst") >= threshold - SLACK)).select("u", "room")
 
 
 def _local_join(batches):
@@ -139,14 +163,15 @@ def _local_join(batches):
         held = tuple(h[cuts[-1] :] for h in held)
 
 
-def _refine(graph: DataFrame, units: DataFrame, k: int) -> DataFrame:
+def _refine(graph: DataFrame, units: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
     turned = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
-    near = graph.unionByName(_top(turned, k)).select("u", "v").distinct()
+    near = graph.unionByName(_top(turned, k, wide, most)).select("u", "v").distinct()
     near = near.unionByName(units.select(F.col("node").alias("u"), F.col("node").alias("v")))
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("least"))
-    known = units.select("node", "unit").join(worst.withColumnRenamed("u", "node"), "node", "left").select(F.col("node").alias("v"), "unit", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
+    none = F.lit(-2.0).cast("float")
+    worst = _room(graph, k, wide).select(F.col("u").alias("node"), F.when(F.col("m") >= F.col("room"), F.col("worst")).otherwise(none).alias("least"))
+    known = units.select("node", "unit").join(worst, "node", "left").select(F.col("node").alias("v"), "unit", F.coalesce("least", none).alias("least"))
     rows = near.join(known, "v").select("u", "v", "unit", "least").repartition("u").sortWithinPartitions("u")
-    return _top(graph.unionByName(rows.mapInArrow(_local_join, EDGES)), k)
+    return _top(graph.unionByName(rows.mapInArrow(_local_join, EDGES)), k, wide, most)
 
 
 def _check(pairs: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
@@ -176,9 +201,8 @@ def _pairs(graph: DataFrame, threshold: float) -> DataFrame:
     return graph.where(F.col("sim") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _across(graph: DataFrame, k: int, tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): for each two components with a link between saturated nodes one such link, by exact comparison in blocks."""
-    full = graph.groupBy("u").agg(F.count("*").alias("m"), F.min("sim").alias("worst")).where((F.col("m") >= k) & (F.col("worst") >= threshold - SLACK)).select(F.col("u").alias("node"))
+def _across(full: DataFrame, tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): for each two components with a link between nodes of ``full`` one such link, by exact comparison in blocks."""
     placed = store(full.join(tied.select("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "saturated")
     nb = -(-placed.count() // WIDE_BLOCK)
     rows = placed.join(table.select("node", "vec"), "node").withColumn("blk", F.pmod(F.xxhash64("node"), F.lit(max(nb, 1))).cast("int"))
@@ -199,30 +223,71 @@ def _across(graph: DataFrame, k: int, tied: DataFrame, table: DataFrame, thresho
     return sent.groupBy("i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _shells(tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
+    """(component, node, n, vec, shell), stored: shell by the angle to the component's mean, in units of the threshold's angle / SHELLS."""
+    rows = tied.select("node", "component").join(table, "node")
+
+    def add(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = _scaled(batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                own, at = np.unique(batch.column("component").to_numpy(), return_inverse=True)
+                sums = np.zeros((len(own), x.shape[1]))
+                np.add.at(sums, at, x)
+                d = x.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, d)), pa.array(np.tile(np.arange(d, dtype=np.int32), len(own))), pa.array(sums.ravel())], ["component", "i", "x"])
+
+    sums = rows.select("component", "vec").mapInArrow(add, "component long, i int, x double").groupBy("component", "i").agg(F.sum("x").alias("x"))
+    centre = store(sums.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("c")).select("component", F.col("c.x").alias("centre")), "centres")
+
+    def place(batches):
+        step = np.arccos(threshold) / SHELLS
+        for batch in batches:
+            shell = np.zeros(0, np.int32)
+            if batch.num_rows:
+                x, c = (batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in ("vec", "centre"))
+                c = np.where(np.abs(c).max(axis=1, keepdims=True) > 0, c, 1.0)  # any centre will do
+                shell = (np.arccos(np.clip(cosine(x, c), -1, 1)) / step).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("component", "node", "n", "vec")], pa.array(shell)], ["component", "node", "n", "vec", "shell"])
+
+    out = store(rows.join(centre, "component").select("component", "node", "n", "vec", "centre").mapInArrow(place, "component long, node long, n long, vec array<double>, shell int"), "shells")
+    drop(centre)
+    return out
+
+
 def _closed(tied: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(node, links): linked vectors of each node of the components, compared in blocks of their component."""
-    rows = tied.join(table, "node")
-    size = tied.groupBy("component").agg(F.count("*").alias("m"))
-    # blocks by hash; each pair of blocks is one task's work of bounded size, however large the component
-    placed = rows.join(size, "component").withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    sent = sent.select("component", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "node", "n", "vec")
+    """(node, links): linked vectors of each node of the components, counted or compared shell by shell."""
+    rows = _shells(tied, table, threshold)
+    size = store(rows.groupBy("component", "shell").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "sizes")  # some SHELLS * 10 rows a component
+    slack = MARGIN / np.arccos(threshold) * SHELLS
+    sure = F.col("p") + F.col("q") + 2 <= SHELLS - slack  # the shells' outer bounds
+    never = F.abs(F.col("p") - F.col("q")) - 1 >= SHELLS + slack
+    pairs = size.select("component", F.col("shell").alias("p"), F.col("m").alias("mp")).join(size.select("component", F.col("shell").alias("q"), F.col("m").alias("mq"), F.col("n").alias("nq")), "component").where(~never).withColumn("sure", sure)
+    pairs = store(pairs, "shell-pairs")
+    counted = pairs.where("sure").groupBy("component", "p").agg(F.sum("nq").alias("links"), F.max((F.col("p") == F.col("q")).cast("int")).alias("itself"))
+    by_count = rows.join(counted, (rows["component"] == counted["component"]) & (rows["shell"] == counted["p"])).select("node", (F.col("links") - F.col("itself") * F.col("n")).alias("links"))
+    # blocks by hash within a shell; each pair of blocks is one task's work of bounded size, however large the component
+    open_ = pairs.where("not sure").select(F.col("component").alias("c"), "p", "q", F.ceil(F.col("mp") / BLOCK).cast("int").alias("np"), F.ceil(F.col("mq") / BLOCK).cast("int").alias("nq"))
+    sent = rows.join(open_, (rows["component"] == open_["c"]) & (rows["shell"] == open_["p"]))
+    blk = F.pmod(F.xxhash64("node"), F.col("np")).cast("int")
+    sent = sent.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
+    here, there = F.struct(F.col("p").alias("shell"), F.col("blk").alias("blk")), F.struct(F.col("q").alias("shell"), F.col("other").alias("blk"))
+    sent = sent.select("component", F.least(here, there).alias("i"), F.greatest(here, there).alias("j"), (here <= there).alias("low"), (here >= there).alias("high"), "node", "n", "vec")
 
     def run(table: pa.Table) -> pa.Table:
         x = _scaled(table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1))
-        blk, node, n = (table.column(c).to_numpy() for c in ("blk", "node", "n"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        node, n = (table.column(c).to_numpy() for c in ("node", "n"))
+        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("low", "high"))
         hit = x[left] @ x[right].T >= threshold
-        if i == j:
-            np.fill_diagonal(hit, False)
+        hit &= node[left][:, None] != node[right][None, :]
         out = [(node[left], hit @ n[right])]
-        if i != j:
+        if table.column("i")[0] != table.column("j")[0]:
             out.append((node[right], n[left] @ hit))
         ids, links = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"node": pa.array(ids, pa.int64()), "links": pa.array(links.astype(np.int64))})
 
-    return sent.groupBy("component", "i", "j").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    compared = sent.groupBy("component", "i", "j").applyInArrow(run, "node long, links long")
+    return by_count.unionByName(compared).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def recall_of(table: DataFrame, tied: DataFrame, threshold: float, audit: int) -> float:
@@ -252,11 +317,11 @@ def recall_of(table: DataFrame, tied: DataFrame, threshold: float, audit: int) -
     return 1.0 if share is None else share
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = 8, audit: int = 1000, recall: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, rounds: int = 8, audit: int = 1000, recall: float = 0.99, widest: int = WIDEST, tries: int = TRIES, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
     table = nodes(vectors, id_col, vec_col)
     sizes = sorted(r[0] for r in table.select(F.size("vec")).distinct().collect())
-    parts = [_one_size(table.where(F.size("vec") == s) if len(sizes) > 1 else table, threshold, k, rounds, audit, recall) for s in sizes]
+    parts = [_one_size(table.where(F.size("vec") == s) if len(sizes) > 1 else table, threshold, k, rounds, audit, recall, widest, tries) for s in sizes]
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec"))
     if not parts:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -270,29 +335,49 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"))
 
 
-def _one_size(table: DataFrame, threshold: float, k: int, rounds: int, audit: int, recall: float) -> DataFrame:
+def _merged(pairs: DataFrame, tied: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs and components with the links in ``more``."""
+    if not more.head(1):
+        return pairs, tied
+    stars = tied.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return pairs.unionByName(more), store(components(more.unionByName(stars)), "components")
+
+
+def _one_size(table: DataFrame, threshold: float, k: int, rounds: int, audit: int, recall: float, widest: int, tries: int) -> DataFrame:
     """(node, component, links) of the nodes that link with others."""
-    units = _units(table)
-    graph = store(_top(_start(units), k), "graph")
+    units, start = _units(table), k
     while True:
-        met = -1
-        for _ in range(rounds):
-            new = store(_refine(graph, units, k), "graph")
+        graph, wide, most, dense = store(_top(_start(units), k), "graph"), None, k, None
+        while True:
+            met = -1
+            for _ in range(rounds):
+                new = store(_refine(graph, units, k, wide, most), "graph")
+                drop(graph)
+                graph = new
+                n = _pairs(graph, threshold).count()
+                if n == met:
+                    break
+                met = n
+            full = store(_saturated(graph, k, wide, threshold), "saturated")
+            dense = full.select(F.col("u").alias("node")) if dense is None else dense
+            if most * 2 > widest or not full.head(1):
+                break
+            more = full.select("u", (F.col("room") * 2).alias("room"))
+            wide, most = store(more if wide is None else more.unionByName(wide.join(full, "u", "left_anti")), "rooms"), most * 2
+            new = store(_top(graph.unionByName(_start(units)), k, wide, most), "graph")
             drop(graph)
             graph = new
-            n = _pairs(graph, threshold).count()
-            if n == met:
-                break
-            met = n
         pairs = store(_check(_pairs(graph, threshold), table, threshold), "pairs")
         tied = store(components(pairs), "components")
-        more = store(_across(graph, k, tied, table, threshold), "across")
-        if more.head(1):
-            pairs = pairs.unionByName(more)
-            stars = tied.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-            tied = store(components(more.unionByName(stars)), "components")
+        more = store(_across(dense, tied, table, threshold), "across")
+        pairs, tied = _merged(pairs, tied, more)
         if recall_of(table, tied, threshold, audit) >= recall:
             break
+        if k >= start << tries:
+            more = store(_across(table.select("node"), tied, table, threshold), "across")
+            pairs, tied = _merged(pairs, tied, more)
+            break
+        drop(graph)
         k *= 2
     drop(graph, units)
     size = tied.groupBy("component").agg(F.count("*").alias("m"))

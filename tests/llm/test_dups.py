@@ -83,8 +83,34 @@ def test_nn_descent_links_saturated_groups(spark):
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     assert (unit @ unit.T >= 0.951).all()  # all are linked, but the 8 closest are of a node's own group
     df = spark.createDataFrame([(i, v.tolist(), 0, 1, 2) for i, v in enumerate(vecs)], VECS)
-    got = nn_descent.near_duplicates(df, recall=0.0).collect()  # without the audit's help
-    assert {(r["n_links"], r["component_id"]) for r in got} == {(27, 0)}
+    for widest in (8, 16, 64):  # by comparison across components, or by enlarged lists; without the audit's help
+        got = nn_descent.near_duplicates(df, recall=0.0, widest=widest).collect()
+        assert {(r["n_links"], r["component_id"]) for r in got} == {(27, 0)}
+
+
+def test_nn_descent_counts_links_by_shells(spark):
+    rng = np.random.default_rng(6)
+    center, rows = rng.normal(size=24), []
+    for spread in (0.01,) * 700 + (0.05,) * 120 + (0.06, 0.07, 0.08) * 40:  # a dense core of more than a block, and a rim
+        rows.append(center + rng.normal(size=24) * spread * np.linalg.norm(center))
+    unit = np.array(rows) / np.linalg.norm(rows, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    want = closure(range(len(rows)), np.argwhere(np.triu(hit, 1)).tolist())
+    df = spark.createDataFrame([(i, v.tolist(), 0, 1, 2) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int, node int, n int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(df).collect()}
+    assert got == {i: (int(hit[i].sum()) - 1, want[i]) for i in range(len(rows))} and hit.sum() < hit.size
+
+
+def test_nn_descent_ends_by_exact_comparison(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(nn_descent, "recall_of", lambda *args: calls.append(1) or 0.0)
+    rows = _vectors()[:100]
+    df = spark.createDataFrame([(i, v, 0, 1, 2) for i, v in rows], VECS)
+    got = {r["vec_id"]: r["component_id"] for r in nn_descent.near_duplicates(df, k=4, tries=1).collect()}
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = closure(range(100), np.argwhere(np.triu(x @ x.T >= 0.95, 1)).tolist())
+    assert got == want and len(calls) == 2
 
 
 def test_nn_descent_of_nothing(spark):
