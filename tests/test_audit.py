@@ -183,6 +183,10 @@ def test_bad_settings(bad):
         ("k8s/x.yml", "env: DJANGO_SETTINGS_MODULE=svc.settings", "svc.settings"),
         (".github/workflows/ci.yml", "run: pytest --pyargs svc.tests", "svc.tests"),
         ("x.service", "ExecStart=/usr/bin/python3 -m svc.daemon", "svc.daemon"),
+        ("Dockerfile", "RUN python3.12 -u -m svc.worker --fast", "svc.worker"),
+        ("Procfile", "web: flask --app=svc.web run; worker: py -3 -m svc.jobs", "svc.web"),
+        ("deploy/x.yaml", "CELERY_APP: svc.tasks:app", "svc.tasks"),
+        ("deploy/x.yaml", "- name: FLASK_APP = svc.front", "svc.front"),
     ],
 )
 def test_deployment_references(spark, path, text, module):
@@ -193,6 +197,10 @@ def test_deployment_references(spark, path, text, module):
 def test_templated_and_oversized_deployment(spark):
     t = spark.createDataFrame([("r", "Dockerfile", "CMD python -m ${MODULE}", 20), ("r", "app.yaml", "x", 2_000_000), ("r", "fly.toml", None, 5)], "repo string, path string, source string, length long")
     assert sorted(r["source"] for r in manifests.deployment(t)[1].collect()) == ["Dockerfile:templated", "app.yaml:oversized", "fly.toml:unreadable"]
+    lines = ["gunicorn $APP", "celery -A {{ app }}", "pytest --pyargs %PKG%", "FLASK_APP=${X}", "DJANGO_SETTINGS_MODULE: $S"]
+    plain = ["echo $HOME", "python run.py $1", "pytest $X", "$X gunicorn svc.app:create"]
+    t = spark.createDataFrame([(str(i), "Procfile", x, len(x)) for i, x in enumerate(lines + plain)], "repo string, path string, source string, length long")
+    assert sorted(r["repo"] for r in manifests.deployment(t)[1].collect()) == [str(i) for i in range(len(lines))]
 
 
 def test_facts_of_a_file():
