@@ -36,7 +36,7 @@ from quarry.llm.graph import components
 
 THRESHOLD = 0.95
 K = 8
-WIDEST = 16
+WIDEST = 8
 TRIES = 2
 ORDERS = 12
 NEXT = 3
