@@ -14,7 +14,7 @@ from quarry.functions.storage import materialise
 def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", max_rounds: int = 1000) -> DataFrame:
     """(node): all nodes reachable from the roots, roots included; cycles are no matter.
 
-    One join a round with the newly reached nodes only; each round's table is written to the shared folder.
+    One join a round with the newly reached nodes only; each round writes those alone to the shared folder.
     """
     seen = materialise(roots.select(F.col(node).alias("node")).where("node is not null").distinct(), "reached")
     frontier = seen
@@ -23,7 +23,7 @@ def reachable(edges: DataFrame, roots: DataFrame, src: str = "src", dst: str = "
         frontier = materialise(step.join(seen, "node", "left_anti"), "frontier")
         if not frontier.head(1):
             return seen.withColumnRenamed("node", node)
-        seen = materialise(seen.unionByName(frontier), "reached")
+        seen = seen.unionByName(frontier)
     raise RuntimeError("reachability did not settle")
 
 

@@ -72,11 +72,11 @@ def inbound_counts(t):
 
 @query(f"""
 WITH RECURSIVE {_PAIRS},
-r(node) AS (SELECT p_partkey FROM part WHERE p_partkey <= 20 UNION SELECT b FROM c JOIN r ON a = node)
+r(node) AS (SELECT p_partkey FROM part WHERE p_size = 1 UNION SELECT b FROM c JOIN r ON a = node)
 SELECT node FROM r""")
 def reachable_set(t):
     edges = grouping.cochange(t("lineitem"), "l_orderkey", "l_partkey")
-    return graph.reachable(edges, t("part").where("p_partkey <= 20"), "a", "b", "p_partkey").withColumnRenamed("p_partkey", "node")
+    return graph.reachable(edges, t("part").where("p_size = 1"), "a", "b", "p_partkey").withColumnRenamed("p_partkey", "node")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
