@@ -3,11 +3,11 @@
 Equal vectors form one node. The neighbour graph starts from neighbours in several orders by random
 hyperplane codes and is refined by local joins: the neighbours of a node, forward and reverse, are compared
 with each other, and a pair replaces the worst neighbour of either end if it is closer. Rounds go on until
-one finds no new pair above the threshold. Lists hold ``k`` neighbours; a node whose list is full of pairs
-above the threshold is saturated. The lists of saturated nodes are doubled and, with the pairs of the orders
-once more, refined again, up to ``widest`` neighbours. A pair that local joins discard has two saturated ends,
-so all nodes that were saturated are compared across the components that result, in blocks, and components
-that link are merged. Recall is audited against brute force for up to ``audit`` nodes, as the mean of the nodes' own
+no list gains a pair above the threshold. Lists hold ``k`` neighbours; a node whose list is full of pairs
+above the threshold is saturated. The lists of saturated nodes are enlarged ``GROWTH`` times and, with the pairs of
+the orders once more, refined again, up to ``widest`` neighbours. A pair that local joins discard has two saturated
+ends, so nodes that are still saturated then are compared across the components that result, in blocks, and
+components that link are merged. Recall is audited against brute force for up to ``audit`` nodes, as the mean of the nodes' own
 shares; below ``recall`` all lists start from twice the size, and where that does not help either after
 ``tries`` times, all nodes are compared across components in blocks, which misses nothing.
 
@@ -36,7 +36,8 @@ from quarry.llm.graph import components
 
 THRESHOLD = 0.95
 K = 8
-WIDEST = 8
+WIDEST = 32
+GROWTH = 4
 TRIES = 2
 ORDERS = 12
 NEXT = 3
@@ -113,7 +114,11 @@ def _start(units: DataFrame) -> DataFrame:
 
 def _top(edges: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
     """The closest neighbours of each node: k, or what ``wide`` (u, room) says, ``most`` at most; Spark limits the groups before the shuffle as well."""
-    best = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    return _closest(edges.groupBy("u", "v").agg(F.max("sim").alias("sim")), k, wide, most)
+
+
+def _closest(best: DataFrame, k: int, wide: DataFrame | None, most: int) -> DataFrame:
+    """``_top`` of pairs that are distinct already."""
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     out = best.withColumn("rank", rank).where(F.col("rank") <= max(k, most))
     if wide is not None:
@@ -165,7 +170,7 @@ def _local_join(batches):
 
 def _refine(graph: DataFrame, units: DataFrame, k: int, wide: DataFrame | None = None, most: int = 0) -> DataFrame:
     turned = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
-    near = graph.unionByName(_top(turned, k, wide, most)).select("u", "v").distinct()
+    near = graph.unionByName(_closest(turned, k, wide, most)).select("u", "v").distinct()
     near = near.unionByName(units.select(F.col("node").alias("u"), F.col("node").alias("v")))
     none = F.lit(-2.0).cast("float")
     worst = _room(graph, k, wide).select(F.col("u").alias("node"), F.when(F.col("m") >= F.col("room"), F.col("worst")).otherwise(none).alias("least"))
@@ -347,29 +352,28 @@ def _one_size(table: DataFrame, threshold: float, k: int, rounds: int, audit: in
     """(node, component, links) of the nodes that link with others."""
     units, start = _units(table), k
     while True:
-        graph, wide, most, dense = store(_top(_start(units), k), "graph"), None, k, None
+        graph, wide, most = store(_top(_start(units), k), "graph"), None, k
         while True:
             met = -1
             for _ in range(rounds):
                 new = store(_refine(graph, units, k, wide, most), "graph")
                 drop(graph)
                 graph = new
-                n = _pairs(graph, threshold).count()
+                n = graph.where(F.col("sim") >= threshold - SLACK).count()  # grows when a list that is not saturated gains a pair
                 if n == met:
                     break
                 met = n
             full = store(_saturated(graph, k, wide, threshold), "saturated")
-            dense = full.select(F.col("u").alias("node")) if dense is None else dense
-            if most * 2 > widest or not full.head(1):
+            if most * GROWTH > widest or not full.head(1):
                 break
-            more = full.select("u", (F.col("room") * 2).alias("room"))
-            wide, most = store(more if wide is None else more.unionByName(wide.join(full, "u", "left_anti")), "rooms"), most * 2
+            more = full.select("u", (F.col("room") * GROWTH).alias("room"))
+            wide, most = store(more if wide is None else more.unionByName(wide.join(full, "u", "left_anti")), "rooms"), most * GROWTH
             new = store(_top(graph.unionByName(_start(units)), k, wide, most), "graph")
             drop(graph)
             graph = new
         pairs = store(_check(_pairs(graph, threshold), table, threshold), "pairs")
         tied = store(components(pairs), "components")
-        more = store(_across(dense, tied, table, threshold), "across")
+        more = store(_across(full.select(F.col("u").alias("node")), tied, table, threshold), "across")
         pairs, tied = _merged(pairs, tied, more)
         if recall_of(table, tied, threshold, audit) >= recall:
             break
