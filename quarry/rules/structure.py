@@ -74,13 +74,21 @@ def plans(audit: Audit, found: DataFrame) -> DataFrame:
     named = named.withColumn("folder", F.concat_ws("/", F.nullif("dir", F.lit("")), F.when(F.col("nth") > 1, F.concat_ws("-", "slug", "nth")).otherwise(F.col("slug"))))
     moves = named.select("repo", "dir", "folder", F.explode("files").alias("path")).withColumn("target", F.concat_ws("/", "folder", F.element_at(F.split("path", "/"), -1)))
     taken = audit.facts.select("repo", F.col("path").alias("target"), F.lit(True).alias("collides"))
-    who = audit.edges.join(audit.facts.select("repo", F.col("module").alias("dst"), "path"), ["repo", "dst"]).join(audit.facts.select("repo", F.col("module").alias("src"), F.col("path").alias("importer")), ["repo", "src"]).groupBy("repo", "path").agg(F.array_sort(F.collect_set("importer")).alias("importers"))
+    links = audit.edges.join(audit.facts.select("repo", F.col("module").alias("dst"), "path"), ["repo", "dst"]).join(audit.facts.select("repo", F.col("module").alias("src"), F.col("path").alias("importer")), ["repo", "src"])
+    links = links.select("repo", "path", "importer")
+    who = links.groupBy("repo", "path").agg(F.array_sort(F.collect_set("importer")).alias("importers"))
+    beside = moves.select("repo", "folder", F.col("path").alias("importer"))  # these move along
+    outside = moves.select("repo", "folder", "path").join(links, ["repo", "path"]).join(beside, ["repo", "folder", "importer"], "left_anti")
+    outside = outside.groupBy("repo", "folder").agg(F.array_sort(F.collect_set("importer")).alias("external_importers"))
     rows = moves.join(taken, ["repo", "target"], "left").join(who, ["repo", "path"], "left")
     move = F.struct(F.col("path").alias("from"), F.col("target").alias("to"), F.coalesce("importers", F.array().cast("array<string>")).alias("importers"), F.coalesce("collides", F.lit(False)).alias("collides"))
     steps = rows.groupBy("repo", "dir", "folder").agg(F.array_sort(F.collect_list(move)).alias("moves"), F.sum(F.coalesce(F.size("importers"), F.lit(0))).alias("importers"), F.count("*").alias("n"))
-    risk = F.when(F.exists("moves", lambda m: m["collides"]) | (F.col("importers") > 20), "high").when(F.col("importers") > 5, "medium").otherwise("low")
+    package = audit.facts.select("repo", F.col("path").alias("init"), F.lit(True).alias("package"))
+    steps = steps.withColumn("init", F.concat_ws("/", "folder", F.lit("__init__.py"))).join(package, ["repo", "init"], "left").join(outside, ["repo", "folder"], "left")
+    steps = steps.withColumn("external_importers", F.coalesce("external_importers", F.array().cast("array<string>")))
+    risk = F.when(F.exists("moves", lambda m: m["collides"]), "high").when((F.col("importers") > 8) | F.col("package").isNull(), "medium").otherwise("low")
     steps = steps.withColumn("risk", risk)
-    return steps.groupBy("repo", "dir").agg(F.array_sort(F.collect_list(F.struct("folder", "risk", "moves"))).alias("steps"), F.count("*").alias("n_plans"), F.sum("importers").alias("importers"), F.sum("n").alias("moves"))
+    return steps.groupBy("repo", "dir").agg(F.array_sort(F.collect_list(F.struct("folder", "risk", "external_importers", "moves"))).alias("steps"), F.count("*").alias("n_plans"), F.sum("importers").alias("importers"), F.sum("n").alias("moves"))
 
 
 def pressure(audit: Audit, found: DataFrame, proposed: DataFrame) -> DataFrame:

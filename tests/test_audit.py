@@ -131,10 +131,14 @@ def test_flat_directory(spark):
             sources[f"app/{name}.py"] = f"from app import {other}\n\n\ndef {topic}_{n}_thing(x):\n    return {other}.call(x)\n"
     for i in range(4):
         sources[f"app/zz{i}.py"] = f"VALUE_{i} = {i}\n"
+    sources["main.py"] = "from app import auth_login\n"
     got = found(session(spark, sources, config=config.Config(flat_directory_threshold=4)).findings("structure"))
     row = got["flat-directory", "app"]
     assert row["recommendation"] == "proposal_only" and evidence(row)["direct_python_modules"] == 10
     assert [c["label"] for c in evidence(row)["probable_clusters"]] == ["auth", "billing"]
+    steps = {s["folder"]: s for s in evidence(row)["migration_plan"]}
+    # members that import each other move along; the new folder is no package yet
+    assert [(steps[f"app/{t}"]["external_importers"], steps[f"app/{t}"]["risk"]) for t in ("auth", "billing")] == [(["main.py"], "medium"), ([], "medium")]
 
 
 def test_same_findings_for_any_partitioning(spark):
