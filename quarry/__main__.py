@@ -14,7 +14,7 @@ from quarry import report
 from quarry.functions.storage import local_session
 from quarry.plans import deletion
 from quarry.session import COMMANDS, AuditSession
-from quarry.sources import config, files, ledger
+from quarry.sources import config, files, history, ledger
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,7 +27,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--accepted", help="ledger of accepted findings")
     out.add_argument("--fail-on", choices=list(report.FLOORS))
     out.add_argument("--base", help="commit that diff and fix compare with")
-    out.add_argument("--baseline", help="commit whose files style compares with")
+    out.add_argument("--baseline", help="commit or date whose files style compares with")
     out.add_argument("--experimental", action="store_true")
     out.add_argument("--output", help="file for accept's ledger or fix's plan")
     out.add_argument("--plan", help="reviewed plan that fix applies")
@@ -55,7 +55,7 @@ def run(args: argparse.Namespace) -> int:
     base = args.base or ("HEAD" if args.command in ("diff", "fix") else None)
     session = AuditSession.from_directory(spark, args.root, settings, base)
     command = {"accept": "scan", "fix": "stale"}.get(args.command, args.command)
-    baseline = files.snapshot(spark, args.root, args.baseline) if args.baseline else None
+    baseline = files.snapshot(spark, args.root, history.resolve(args.root, args.baseline)) if args.baseline else None
     findings = session.findings(command, args.experimental, baseline).cache()
     if args.command == "accept":
         text = ledger.dump(ledger.build(findings, accepted).collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,3 +37,30 @@ def resolve(spellings: DataFrame, aliases: DataFrame, spelling: str, alias: str,
     known = rows.join(aliases.select(*by, F.col(alias).alias("__p"), F.col(owner)).distinct(), [*by, "__p"])
     best = F.max(F.length("__p")).over(Window.partitionBy(*[F.col(c) for c in spellings.columns]))
     return known.withColumn("__best", best).where(F.length("__p") == F.col("__best")).select(*spellings.columns, owner).distinct()
+
+
+def descends(pairs: DataFrame, parents: DataFrame, by: str = "repo") -> DataFrame:
+    """The distinct pairs (by, earlier, later) whose later commit descends from the earlier one; none descends from itself.
+
+    pairs: (by, earlier, later), nulls descend from nothing; parents: (by, commit, parent). One group is the commits of
+    one repository, as one process of git holds them; each later commit is walked from once for all its pairs.
+    """
+
+    def walk(left, right):
+        above = {}
+        for commit, parent in zip(right["commit"], right["parent"], strict=True):
+            above.setdefault(commit, []).append(parent)
+        keep = []
+        for later, rows in left.groupby("later"):
+            wanted, seen, todo = set(rows["earlier"]), set(), list(above.get(later, ()))
+            while todo and not wanted <= seen:
+                commit = todo.pop()
+                if commit not in seen:
+                    seen.add(commit)
+                    todo += above.get(commit, ())
+            keep.append(rows[rows["earlier"].isin(seen)])
+        return pd.concat(keep) if keep else left
+
+    asked = pairs.select(by, "earlier", "later").where("earlier is not null and later is not null and earlier <> later").distinct()
+    known = parents.select(by, "commit", "parent").join(asked.select(by).distinct(), by, "left_semi")
+    return asked.groupBy(by).cogroup(known.groupBy(by)).applyInPandas(walk, f"{by} string, earlier string, later string")

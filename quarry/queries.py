@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
 from quarry.operators import graph, grouping, matching, relational, stats
+from quarry.sources import paths
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -162,10 +163,11 @@ def tier_summary(t):
 SELECT page_id, CASE WHEN host LIKE '%.org' THEN 'vendor' WHEN path LIKE '%.html' THEN 'generated' WHEN host LIKE 'www.%' OR host LIKE 'm.%' THEN 'script' ELSE 'source' END AS category
 FROM (SELECT page_id, regexp_extract(url, '://([^/?#]*)([^?#]*)', 1) AS host, regexp_extract(url, '://([^/?#]*)([^?#]*)', 2) AS path FROM pages)""")
 def path_category(t):
-    """The first category that fits wins."""
+    """The category of a file path made from each url."""
     host, path = (F.regexp_extract("url", "://([^/?#]*)([^?#]*)", i) for i in (1, 2))
-    kind = F.when(host.endswith(".org"), "vendor").when(path.endswith(".html"), "generated").when(host.startswith("www.") | host.startswith("m."), "script").otherwise("source")
-    return t("pages").select("page_id", kind.alias("category"))
+    folder = F.when(host.endswith(".org"), "lib/vendor/").when(path.endswith(".html"), "lib/generated/").when(host.startswith("www.") | host.startswith("m."), "scripts/").otherwise("lib/")
+    file = F.concat(folder, F.lit("page"), F.col("page_id").cast("string"), F.lit(".py"))
+    return t("pages").select("page_id", paths.category(file).alias("category"))
 
 
 _REVERSED = "array_to_string(list_reverse(string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')), '.')"

@@ -59,6 +59,10 @@ class Audit:
     log: DataFrame | None
     public: DataFrame  # repo, module
     doubts: DataFrame  # repo, kind ('packaging' or 'deployment'), source
+    namespaces: DataFrame  # repo, root: folders declared to hold namespace packages
+    import_roots: tuple[str, ...] = ()
+    parents: DataFrame | None = None  # repo, commit, parent
+    replaced: tuple[DataFrame, DataFrame] | None = None  # what stale.replacements found
 
     @property
     def sources(self) -> DataFrame:

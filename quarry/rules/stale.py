@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import ancestors, family, jaccard, prefixes, stem
 from quarry.functions.scores import recommendation, stale_confidence
+from quarry.functions.storage import materialise
+from quarry.operators.graph import descends
 from quarry.operators.matching import similar_size
 from quarry.operators.sequences import ratios
 from quarry.rules.base import Audit, evidence, findings, js
@@ -29,8 +31,11 @@ def _side(df: DataFrame, p: str) -> DataFrame:
 def replacements(audit: Audit) -> tuple[DataFrame, DataFrame]:
     """(best replacement of each unreachable source, unreachable sources).
 
-    Files meet only through their family name or through two informative symbols of the same folder.
+    Files meet only through their family name or through two informative symbols of the same folder. Both rules of
+    this module read the result, so it is stored and made once an audit.
     """
+    if audit.replaced is not None:
+        return audit.replaced
     files = audit.sources.withColumn("fam", family(stem(F.col("path"))))
     dead = files.join(audit.reachable, ["repo", "module"], "left_anti")
     live = files.join(audit.reachable, ["repo", "module"], "left_semi")
@@ -50,7 +55,31 @@ def replacements(audit: Audit) -> tuple[DataFrame, DataFrame]:
     # ties go to the first module
     first = fit.groupBy("repo", "c_module").agg(F.min(F.struct((-F.col("overall")).alias("neg"), "r_module")).alias("m"))
     best = fit.join(first.select("repo", "c_module", F.col("m.r_module").alias("r_module")), ["repo", "c_module", "r_module"])
-    return best, dead
+    audit.replaced = materialise(best, "replacements"), dead
+    return audit.replaced
+
+
+def package_marks(audit: Audit, df: DataFrame) -> DataFrame:
+    """(repo, path, __in_package, __namespace) of the rows of ``df``, by joins on the folders above each file.
+
+    A file is in a package if any folder above it holds an ``__init__.py``. It may belong to a namespace package if it
+    lies in a folder of a declared namespace root, or if the folders above it (without a leading import root) are all
+    identifiers and one of them holds no ``__init__.py``.
+    """
+    packages = audit.facts.where("name = '__init__.py'").select("repo", F.col("dir").alias("__dir")).distinct().withColumn("__is", F.lit(1))
+    up = df.select("repo", "path").distinct().withColumn("__up", ancestors(F.col("path")))
+    each = up.select("repo", "path", F.explode("__up").alias("__dir")).join(packages, ["repo", "__dir"], "left")
+    parts = F.split("path", "/")
+    lead = F.when(parts[0].isin("src", "lib", *audit.import_roots), 1).otherwise(0)
+    inner = F.slice(parts, lead + 1, F.greatest(F.size(parts) - 1 - lead, F.lit(0)))
+    depth = F.when(F.col("__dir") == "", 0).otherwise(F.size(F.split("__dir", "/")))
+    counted = each.groupBy("repo", "path").agg(F.count("__is").alias("__packages"), F.count_if(F.col("__is").isNotNull() & (depth > lead)).alias("__inner"))
+    implied = (F.size(inner) > 0) & F.forall(inner, lambda p: p.rlike("^[\\p{L}_][\\p{L}\\p{N}_]*$")) & (F.col("__inner") < F.size(inner))
+    roots = audit.namespaces.select("repo", F.col("root").alias("__dir")).distinct()
+    below = F.size(parts) - F.when(F.col("__dir") == "", 0).otherwise(F.size(F.split("__dir", "/")))
+    declared = up.select("repo", "path", F.explode("__up").alias("__dir")).where(below >= 2).join(roots, ["repo", "__dir"], "left_semi").select("repo", "path").distinct().withColumn("__declared", F.lit(True))
+    out = counted.join(declared, ["repo", "path"], "left")
+    return out.select("repo", "path", (F.col("__packages") > 0).alias("__in_package"), (F.col("__declared").isNotNull() | implied).alias("__namespace"))
 
 
 def risks(audit: Audit, df: DataFrame) -> DataFrame:
@@ -64,21 +93,21 @@ def risks(audit: Audit, df: DataFrame) -> DataFrame:
         owned = facts.select("repo", "module", F.explode(F.array_union("aliases", F.array("module"))).alias("alias"))
         return users(used.join(owned, ["repo", "alias"]), kind)
 
-    per_repo = facts.groupBy("repo").agg(
-        F.array_sort(F.collect_set(F.when(F.col("parse_error").isNotNull(), F.col("path")))).alias("__broken"),
-        F.array_sort(F.collect_set(F.when(F.col("opaque"), F.col("path")))).alias("__opaque"),
-        F.collect_set(F.when(F.col("name") == "__init__.py", F.col("dir"))).alias("__packages"),
-    )
+    # each row meets the counts and the first three names of its repository only
+    three = lambda c: F.slice(F.array_sort(F.collect_set(c)), 1, 3)
+    broken, opaque = F.col("parse_error").isNotNull(), F.coalesce("opaque", F.lit(False))
+    per_repo = facts.groupBy("repo").agg(three(F.when(broken, F.col("path"))).alias("__broken"), F.count_if(broken).alias("__n_broken"), three(F.when(opaque, F.col("path"))).alias("__opaque"))
     doubts = audit.doubts.groupBy("repo").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("source")))).alias(f"__{k}") for k in ("packaging", "deployment")])
-    public = audit.public.select("repo", F.col("module").alias("__m")).distinct().groupBy("repo").agg(F.collect_set("__m").alias("__public"))
-    rows = df.join(per_repo, "repo", "left").join(doubts, "repo", "left").join(public, "repo", "left")
+    public = audit.public.select("repo", F.col("module").alias("__m")).distinct()
+    public = df.select("repo", "path", F.explode(F.array_union("aliases", F.array("module"))).alias("__m")).join(public, ["repo", "__m"], "left_semi").select("repo", "path").distinct().withColumn("__public", F.lit(True))
+    rows = df.join(per_repo, "repo", "left").join(doubts, "repo", "left").join(public, ["repo", "path"], "left").join(package_marks(audit, df), ["repo", "path"], "left")
     rows = rows.join(referenced("dynamic_refs", "__dynamic"), ["repo", "module"], "left").join(referenced("string_refs", "__strings"), ["repo", "module"], "left")
     none = F.array().cast("array<string>")
-    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("__broken", "__opaque", "__packages", "__packaging", "__deployment", "__public", "__dynamic", "__strings")})
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("__broken", "__opaque", "__packaging", "__deployment", "__dynamic", "__strings")})
     some = lambda c: F.size(c) > 0
     first = lambda c: F.array_join(F.slice(c, 1, 3), ",")
-    packaged = F.arrays_overlap("__public", F.array_union("aliases", F.array("module")))
-    in_package = F.arrays_overlap("__packages", ancestors(F.col("path"))) & F.lit(not cfg.allow_delete_package_modules)
+    packaged = F.coalesce("__public", F.lit(False))
+    in_package = F.coalesce(F.col("__in_package") | F.col("__namespace"), F.lit(False)) & F.lit(not cfg.allow_delete_package_modules)
     external = ~packaged & ~F.col("declares_api") & in_package
     under_src = ~some("__deployment") & F.col("path").startswith("src/") & F.lit(not cfg.allow_delete_src)
     data_only = some("public_assignments") & ~some("symbols")
@@ -90,7 +119,7 @@ def risks(audit: Audit, df: DataFrame) -> DataFrame:
         when(some("__dynamic") | some("__strings"), 0.75), when(data_only, 0.55), when(~packaged & F.col("declares_api") | external, 0.45), when(under_src, 0.25),
     )
     why = F.array_compact(F.array(
-        F.when(some("__broken"), F.concat(F.lit("repository_parse_errors:"), F.size("__broken").cast("string"), F.lit(":"), first("__broken"))),
+        F.when(some("__broken"), F.concat(F.lit("repository_parse_errors:"), F.col("__n_broken").cast("string"), F.lit(":"), first("__broken"))),
         F.when(protected, "protected_path"), F.when(kind, F.col("category")), F.when(packaged, "packaged_public_module"), F.when(~packaged & F.col("declares_api"), "public_api_or_package_init"),
         F.when(external | under_src, "possible_external_package_module"), F.when(some("__packaging"), F.concat(F.lit("packaging_entrypoint_uncertainty:"), first("__packaging"))),
         F.when(some("__deployment"), F.concat(F.lit("deployment_runtime_uncertainty:"), first("__deployment"))), F.when(data_only, "data_or_config_module_requires_literal_review"),
@@ -119,8 +148,15 @@ def stale_files(audit: Audit) -> DataFrame:
     if audit.births is not None:
         born = lambda p: audit.births.select("repo", F.col("path").alias(f"{p}_path"), F.col("commit").alias(f"{p}_commit"), F.col("seq").alias(f"{p}_seq"), F.col("ts").alias(f"{p}_ts"))
         rows = rows.join(born("c"), ["repo", "c_path"], "left").join(born("r"), ["repo", "r_path"], "left")
-        # in one line of commits the later one has the smaller seq; the same commit is not later
-        newer = F.coalesce((F.col("c_commit") != F.col("r_commit")) & (F.col("r_seq") < F.col("c_seq")), F.lit(False))
+        if audit.parents is not None:
+            # later means descended from; commits of two branches are in no order
+            pairs = rows.select("repo", F.col("c_commit").alias("earlier"), F.col("r_commit").alias("later"))
+            after = descends(pairs, audit.parents).select("repo", F.col("earlier").alias("c_commit"), F.col("later").alias("r_commit"), F.lit(True).alias("__after"))
+            rows = rows.join(after, ["repo", "c_commit", "r_commit"], "left")
+            newer = F.coalesce("__after", F.lit(False))
+        else:
+            # in one line of commits the later one has the smaller seq; the same commit is not later
+            newer = F.coalesce((F.col("c_commit") != F.col("r_commit")) & (F.col("r_seq") < F.col("c_seq")), F.lit(False))
     else:
         newer = F.lit(False)
     moved = F.col("call_site").isNotNull()

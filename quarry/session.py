@@ -7,27 +7,29 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import ancestors
 from quarry.functions.storage import materialise
 from quarry.rules import base, dependencies, stale, structure, style, symbols
 from quarry.sources import files, history, manifests, python_facts
 from quarry.sources import config as settings
 
 COMMANDS = ("scan", "stale", "diff", "structure", "style")
-_EMPTY = {"entrypoints": "repo string, spelling string", "public": "repo string, module string", "doubts": "repo string, kind string, source string", "declared": "repo string, name string, source string"}
+_EMPTY = {"entrypoints": "repo string, spelling string", "public": "repo string, module string", "doubts": "repo string, kind string, source string", "declared": "repo string, name string, source string", "namespaces": "repo string, root string"}
 
 
 class AuditSession:
     """``report(command)`` over tables of any number of repositories.
 
-    Tables: files (repo, path, source); optional log (``history.COMMITS``), changed (repo, path), before (files at
-    the base, for import migrations), configs (repo, path, source, length), entrypoints, public, doubts, declared.
+    Tables: files (repo, path, source); optional log (``history.COMMITS``), parents (``history.PARENTS``), changed (repo, path), before (files at
+    the base, for import migrations), configs (repo, path, source, length), entrypoints, public, doubts, declared, namespaces (repo, root).
     ``from_directory`` fills them from one working tree.
     """
 
-    def __init__(self, spark: SparkSession, sources: DataFrame, config: settings.Config | None = None, *, log: DataFrame | None = None, changed: DataFrame | None = None, before: DataFrame | None = None, configs: DataFrame | None = None, import_roots: tuple[str, ...] = (), base_ref: str | None = None, cache: str | None = None, **tables: DataFrame):
+    def __init__(self, spark: SparkSession, sources: DataFrame, config: settings.Config | None = None, *, log: DataFrame | None = None, parents: DataFrame | None = None, changed: DataFrame | None = None, before: DataFrame | None = None, configs: DataFrame | None = None, import_roots: tuple[str, ...] = (), base_ref: str | None = None, cache: str | None = None, **tables: DataFrame):
         self.spark, self.config, self.log, self.changed, self.base_ref = spark, config or settings.Config(), log, changed, base_ref
         self.tables = {k: tables.get(k) or spark.createDataFrame([], v) for k, v in _EMPTY.items()}
-        self.before = before
+        self.before, self.parents = before, parents
+        self.import_roots = tuple(r.strip("/") for r in (*self.config.import_roots, *import_roots) if r.strip("/"))
         if configs is not None:
             refs, doubt = manifests.deployment(configs)
             self.tables["entrypoints"] = self.tables["entrypoints"].unionByName(refs.select("repo", F.col("module").alias("spelling")))
@@ -43,15 +45,17 @@ class AuditSession:
         known = files.list_files(root, config.exclude)
         rows = [(repo, p, files.decode((root / p).read_bytes()) if (root / p).stat().st_size <= manifests.LARGEST else None, (root / p).stat().st_size) for p in known if not p.endswith(".py")]
         table = lambda k, values: spark.createDataFrame([(repo, *v) for v in values], _EMPTY[k])
-        log = history.read_log(spark, root, repo) if files.git(root, "rev-parse", "HEAD") else None
+        has_log = files.git(root, "rev-parse", "HEAD")
+        log = history.read_log(spark, root, repo) if has_log else None
+        parents = history.read_parents(spark, root, repo) if has_log else None
         changed = before = None
         if base_ref:
             changed = history.changed_paths(spark, root, base_ref, repo)
             before = files.snapshot(spark, root, base_ref, repo).join(changed, ["repo", "path"], "left_semi")
         return cls(
-            spark, files.scan_repository(spark, root, repo, config.exclude), config, log=log, changed=changed, before=before, base_ref=base_ref, import_roots=tuple(pack["roots"]),
+            spark, files.scan_repository(spark, root, repo, config.exclude), config, log=log, parents=parents, changed=changed, before=before, base_ref=base_ref, import_roots=tuple(pack["roots"]),
             configs=spark.createDataFrame(rows, "repo string, path string, source string, length long"), entrypoints=table("entrypoints", [(m,) for m in pack["entrypoints"]]),
-            public=table("public", [(m,) for m in pack["public"]]), doubts=table("doubts", [("packaging", s) for s in pack["doubts"]]), declared=table("declared", manifests.dependencies(root)), **more,
+            public=table("public", [(m,) for m in pack["public"]]), doubts=table("doubts", [("packaging", s) for s in pack["doubts"]]), declared=table("declared", manifests.dependencies(root)), namespaces=table("namespaces", [(r,) for r in pack["namespaces"]]), **more,
         )
 
     def audit(self) -> base.Audit:
@@ -64,7 +68,7 @@ class AuditSession:
             old = python_facts.extract(self.before if self.before is not None else none)
             migrations = materialise(history.import_migrations(old, facts.join(self.changed, ["repo", "path"], "left_semi")), "migrations")
         births = materialise(history.births(self.log), "births") if self.log is not None else None
-        return base.Audit(self.config, facts, edges, base.reach(edges, roots), roots, self.changed, migrations, births, self.log, self.tables["public"], self.tables["doubts"])
+        return base.Audit(self.config, facts, edges, base.reach(edges, roots), roots, self.changed, migrations, births, self.log, self.tables["public"], self.tables["doubts"], self.tables["namespaces"], self.import_roots, self.parents)
 
     def findings(self, command: str = "scan", experimental: bool = False, baseline: DataFrame | None = None) -> DataFrame:
         """Findings in report order. baseline: files of an earlier time, for the style rule."""
@@ -109,12 +113,20 @@ class AuditSession:
 
 def in_diff(rows: DataFrame, changed: DataFrame) -> DataFrame:
     """Findings on changed paths, on folders above them, or that name them as related."""
-    paths = changed.groupBy("repo").agg(F.collect_set("path").alias("__changed"))
     related = F.flatten(F.transform(F.filter("evidence", lambda e: e["type"].isin("related_changed_paths")), lambda e: F.from_json(e["value"], "array<string>")))
     moved = F.exists("evidence", lambda e: e["type"].isin("call_site_migration"))
-    below = (F.col("rule") == "flat-directory") & F.exists("__changed", lambda p: (F.col("path") == ".") | p.startswith(F.concat("path", F.lit("/"))))
-    hit = F.array_contains("__changed", F.col("path")) | below | moved | F.arrays_overlap(related, "__changed")
-    return rows.join(paths, "repo").where(F.coalesce(hit, F.lit(False))).select(*rows.columns)
+    # the paths by which a finding can be hit, each met by equality; the root folder is '.' in findings
+    marks = changed.select("repo", F.col("path").alias("__on"), F.lit("file").alias("__as")).unionByName(
+        changed.select("repo", F.explode(ancestors(F.col("path"))).alias("__on"), F.lit("folder").alias("__as"))
+    )
+    folder = F.when(F.col("rule") == "flat-directory", F.when(F.col("path") == ".", "").otherwise(F.col("path")))
+    own = F.concat(F.array("path"), F.coalesce(related, F.array().cast("array<string>")))
+    ask = F.concat(F.transform(own, lambda p: F.struct(p.alias("on"), F.lit("file").alias("as"))), F.array(F.struct(folder.alias("on"), F.lit("folder").alias("as"))))
+    asked = rows.select("repo", "id", moved.alias("__moved"), F.explode(ask).alias("__a")).select("repo", "id", "__moved", F.col("__a.on").alias("__on"), F.col("__a.as").alias("__as"))
+    hits = asked.join(marks.distinct(), ["repo", "__on", "__as"], "left_semi").select("repo", "id")
+    # a moved call site is a change of this diff wherever its finding lies
+    told = asked.where("__moved").select("repo", "id").join(changed.select("repo").distinct(), "repo", "left_semi")
+    return rows.join(hits.unionByName(told).distinct(), ["repo", "id"], "left_semi").select(*rows.columns)
 
 
 def cached_facts(sources: DataFrame, cache: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarry.sources.files import git
 
 COMMITS = "repo string, seq int, commit string, ts long, path string, status string"
+PARENTS = "repo string, commit string, parent string"
 
 
 def read_log(spark: SparkSession, root: str | Path, repo: str | None = None, limit: int | None = None) -> DataFrame:
@@ -23,6 +24,21 @@ def read_log(spark: SparkSession, root: str | Path, repo: str | None = None, lim
     return spark.createDataFrame(rows, COMMITS)
 
 
+def read_parents(spark: SparkSession, root: str | Path, repo: str | None = None) -> DataFrame:
+    """(repo, commit, parent): one row for each parent of each commit that HEAD descends from."""
+    listed = (git(root, "rev-list", "--parents", "HEAD") or b"").decode().splitlines()
+    name = repo or Path(root).resolve().name
+    return spark.createDataFrame([(name, commit, p) for commit, *parents in map(str.split, listed) for p in parents], PARENTS)
+
+
+def resolve(root: str | Path, value: str) -> str:
+    """The commit that a reference names, else the last one of HEAD's history before a date."""
+    for args in (("rev-parse", "--verify", "--quiet", f"{value}^{{commit}}"), ("rev-list", "-1", f"--before={value}", "HEAD")):
+        if found := (git(root, *args) or b"").decode().split():
+            return found[0]
+    raise ValueError(f"neither a commit nor a date with a commit before it: {value}")
+
+
 def births(log: DataFrame) -> DataFrame:
     """(repo, path, commit, ts, seq) of the latest commit that added each path."""
     first = F.min_by(F.struct("commit", "ts", "seq"), "seq").alias("b")

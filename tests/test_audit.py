@@ -278,3 +278,78 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["scan", str(tmp_path), "--accepted", accepted, "--fail-on", "all"]) == 0
     assert main(["scan", str(tmp_path), "--accepted", str(tmp_path / "app.py")]) == 2
     assert main(["diff", str(tmp_path)]) == 2
+
+
+def _git(root, *args):
+    return subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *args], check=True, capture_output=True, text=True).stdout.strip()
+
+
+def test_packaging_entry_points_and_namespace_roots(tmp_path):
+    (tmp_path / "pyproject.toml").write_text('[project.scripts]\nrun = "pkg.cli:main"\nbad = "no way"\n[tool.setuptools.packages.find]\nwhere = ["lib2/"]\nnamespaces = true\n')
+    got = manifests.packaging(tmp_path)
+    assert got["entrypoints"] == ["pkg.cli"] and got["roots"] == ["lib2"] and got["namespaces"] == ["lib2"]
+    (tmp_path / "pyproject.toml").write_text("[tool.setuptools.packages.find]\nnamespaces = true\n")
+    got = manifests.packaging(tmp_path)
+    assert got["roots"] == [] and got["namespaces"] == [""]
+
+
+def test_namespace_members(spark):
+    from quarry.rules.stale import package_marks
+
+    s = session(spark, {p: "x = 1\n" for p in ("top.py", "pkg/__init__.py", "pkg/a.py", "ns/b.py", "src/pkg2/__init__.py", "src/pkg2/c.py", "src/ns/d.py", "pkg/sub/e.py", "not-a-name/f.py", "decl/one-two/g.py", "decl/h.py")}, namespaces=spark.createDataFrame([("r", "decl")], "repo string, root string"))
+    got = {r["path"]: (r["__in_package"], r["__namespace"]) for r in package_marks(s.audit(), s.facts).collect()}
+    assert len(got) == 11
+    assert {p for p, (_, ns) in got.items() if ns} == {"ns/b.py", "src/ns/d.py", "pkg/sub/e.py", "decl/one-two/g.py", "decl/h.py"}
+    assert {p for p, (inside, _) in got.items() if inside} == {"pkg/__init__.py", "pkg/a.py", "pkg/sub/e.py", "src/pkg2/__init__.py", "src/pkg2/c.py"}
+
+
+def test_descends(spark):
+    from quarry.operators.graph import descends
+
+    # r: a <- b <- d and a <- c; q: x alone; the cycle cannot come from git but must end
+    parents = spark.createDataFrame([("r", "b", "a"), ("r", "c", "a"), ("r", "d", "b"), ("s", "m", "n"), ("s", "n", "m")], "repo string, commit string, parent string")
+    asked = [("r", "a", "d"), ("r", "a", "d"), ("r", "c", "d"), ("r", "d", "a"), ("r", "b", "b"), ("r", None, "d"), ("q", "x", "y"), ("s", "m", "n"), ("s", "z", "n")]
+    pairs = spark.createDataFrame(asked, "repo string, earlier string, later string")
+    got = sorted(tuple(r) for r in descends(pairs, parents).collect())
+    assert got == [("r", "a", "d"), ("s", "m", "n")]
+    assert descends(pairs.limit(0), parents).count() == 0
+
+
+def test_branches_are_in_no_order(spark, tmp_path):
+    from quarry.sources import history
+
+    _git(tmp_path, "init", "-q", "-b", "main")
+    (tmp_path / "app.py").write_text("import parser_v2\n" + MAIN)
+    _git(tmp_path, "add", "-A")
+    _git(tmp_path, "commit", "-qm", "one", "--date=2001-01-01T00:00:00Z")
+    _git(tmp_path, "checkout", "-qb", "side")
+    (tmp_path / "parser.py").write_text(BODY)
+    _git(tmp_path, "add", "-A")
+    _git(tmp_path, "commit", "-qm", "two")
+    _git(tmp_path, "checkout", "-q", "main")
+    (tmp_path / "parser_v2.py").write_text(BODY)
+    _git(tmp_path, "add", "-A")
+    _git(tmp_path, "commit", "-qm", "three")
+    _git(tmp_path, "merge", "-q", "-m", "four", "side")
+    row = found(AuditSession.from_directory(spark, tmp_path).findings("stale"))["stale-file", "parser.py"]
+    assert evidence(row)["replacement_newer"] is False
+    first = _git(tmp_path, "rev-list", "--max-parents=0", "HEAD")
+    assert history.resolve(tmp_path, "HEAD") == _git(tmp_path, "rev-parse", "HEAD") and history.resolve(tmp_path, first[:10]) == first
+    assert history.resolve(tmp_path, "now") == _git(tmp_path, "rev-parse", "HEAD")
+    with pytest.raises(ValueError):
+        history.resolve(tmp_path, "1990-01-01")
+
+
+def test_diff_keeps_what_the_change_touches(spark):
+    from quarry.rules.base import EVIDENCE
+    from quarry.session import in_diff
+
+    rows = spark.createDataFrame(
+        [
+            ("r", "a", "stale-file", "x.py", [("inbound", "1")]), ("r", "b", "stale-file", "y.py", [("related_changed_paths", '["x.py"]')]), ("r", "c", "flat-directory", "lib", []),
+            ("r", "d", "flat-directory", ".", []), ("r", "e", "stale-file", "z.py", [("call_site_migration", '"q.py"')]), ("r", "f", "stale-file", "lib", []), ("s", "g", "stale-file", "x.py", []), ("r", "h", "flat-directory", "li", []),
+        ],
+        f"repo string, id string, rule string, path string, evidence {EVIDENCE}",
+    )
+    changed = spark.createDataFrame([("r", "x.py"), ("r", "lib/deep/w.py")], "repo string, path string")
+    assert sorted(r["id"] for r in in_diff(rows, changed).collect()) == ["a", "b", "c", "d", "e"]
