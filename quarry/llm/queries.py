@@ -87,4 +87,28 @@ QUERIES = {
     "op9_langid_zstd": op9_langid_zstd,
     "op10_quality_fm": op10_quality_fm,
 }
-ORACLES: dict[str, str] = {}
+#: Exhaustive counts: every pair of vectors, every window of 400 bytes.
+ORACLES: dict[str, str] = {
+    "op3_nn_descent": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+links AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (SELECT src, dst FROM links UNION SELECT reach.src, links.dst FROM reach JOIN links ON reach.dst = links.src),
+c AS (SELECT src AS vec_id, min(dst) AS least FROM reach GROUP BY src),
+n AS (SELECT src AS vec_id, count(*) AS n_links FROM links GROUP BY src)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, least(vec_id, coalesce(least, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)""",
+    "op6_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, n, unnest(range(1, n - 398)) AS p FROM d WHERE n >= 400),
+k AS (SELECT w.doc_id, w.p, md5(b[w.p:w.p + 399]) AS h FROM w JOIN d USING (doc_id)),
+r AS (SELECT doc_id, p, lag(p) OVER o AS before, lead(p) OVER o AS after
+      FROM k SEMI JOIN (SELECT h FROM k GROUP BY h HAVING count(*) > 1) USING (h) WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+s AS (SELECT doc_id, sum(least(coalesce(after - p, 400), 400))::BIGINT AS n_removed, count(*) FILTER (before IS NULL OR p - before > 400) AS n_spans FROM r GROUP BY doc_id),
+e AS (SELECT doc_id, p + 400 AS a, coalesce(after, n + 1) AS z FROM r JOIN d USING (doc_id) WHERE after IS NULL OR after - p > 400
+      UNION ALL SELECT doc_id, 1, min(p) FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(hex(b[a:z - 1]), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) WHERE z > a GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(coalesce(kept, '')) END) AS kept_sha256
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)""",
+}
