@@ -2,65 +2,142 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRONG, AVERAGE, COHESION, LARGEST = 0.42, 0.18, 0.30, 0.60
+#: Copies of affinity 1 merge before all else if no other affinity reaches this.
+APART = 0.999
+
+
+def _merged(total: np.ndarray, top: np.ndarray, size: np.ndarray) -> list[list[int]]:
+    """The final clusters, as lists of indexes. Clusters come in order of their greatest member; ``total`` and ``top`` are symmetric.
+
+    Of two disjoint clusters that may join a third, the one with the greater greatest member makes the greater reversed
+    member list, so ties go to the pair with the greatest members, compared first by the greater one.
+    """
+    n = len(size)
+    held, alive = [[i] for i in range(n)], np.ones(n, bool)
+    # the best partner of each cluster among those before it
+    mean, most, low = np.full(n, -1.0), np.full(n, -1.0), np.full(n, -1)
+
+    def look(i: int) -> None:
+        means = total[i, :i] / (size[i] * size[:i])
+        fits = alive[:i] & (top[i, :i] >= STRONG) & (means >= AVERAGE)
+        mean[i] = most[i] = low[i] = -1
+        if fits.any():
+            means = np.where(fits, means, -1.0)
+            mean[i] = means.max()
+            tops = np.where(means == mean[i], top[i, :i], -1.0)
+            most[i] = tops.max()
+            low[i] = np.flatnonzero(tops == most[i])[-1]
+
+    for i in range(n):
+        look(i)
+    while n and (best := mean.max()) >= 0:
+        tied = np.where(mean == best, most, -1.0)
+        hi = int(np.flatnonzero(tied == tied.max())[-1])
+        lo = int(low[hi])
+        total[hi] += total[lo]
+        total[:, hi] = total[hi]
+        top[hi] = np.maximum(top[hi], top[lo])
+        top[:, hi] = top[hi]
+        size[hi] += size[lo]
+        held[hi] += held[lo]
+        alive[lo], mean[lo], low[lo] = False, -1.0, -1
+        stale = alive & ((low == lo) | (low == hi))
+        # for later clusters, the merged one may have become the best partner
+        rest = np.flatnonzero(alive[hi + 1 :] & ~stale[hi + 1 :]) + hi + 1
+        means = total[rest, hi] / (size[rest] * size[hi])
+        fits = (top[rest, hi] >= STRONG) & (means >= AVERAGE)
+        stale[rest[fits & (means >= mean[rest])]] = True
+        stale[hi] = True
+        for i in np.flatnonzero(stale):
+            look(i)
+    return [held[i] for i in np.flatnonzero(alive)]
 
 
-def agglomerate(members: list, affinity: dict[tuple, float], largest: float = LARGEST) -> list[tuple[list, float]]:
+def _mean(values: np.ndarray, counts: np.ndarray | None) -> float:
+    """Mean of values that occur ``counts`` times (once where None)."""
+    if counts is None:
+        return sum(values.tolist()) / len(values)
+    each, at = np.unique(values, return_inverse=True)
+    n = np.bincount(at, weights=counts).astype(np.int64).tolist()
+    return float(sum(Fraction(v) * k for v, k in zip(each.tolist(), n, strict=True))) / sum(n)
+
+
+def agglomerate(members: list, affinity: dict[tuple, float], largest: float = LARGEST, copy_of: dict | None = None) -> list[tuple[list, float]]:
     """(members, mean affinity) of the credible clusters of one group.
 
     The pair of clusters with the greatest mean (then strongest, then reversed member list) merges while its
     strongest pair reaches STRONG and its mean AVERAGE. Clusters of 2 to max(3, ``largest`` of all) members whose mean
     affinity reaches COHESION are credible.
-    """
 
-    def of(x, y) -> float:
-        return affinity.get((x, y) if x < y else (y, x), 0.0)
-
-    parts = [(m,) for m in sorted(members)]
-    links = {(i, j): (of(*a, *b), of(*a, *b)) for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j}  # total, strongest
-    alive = dict(enumerate(parts))
-    while True:
-        best = None
-        for (i, j), (total_, top) in links.items():
-            mean = total_ / (len(alive[i]) * len(alive[j]))
-            if top >= STRONG and mean >= AVERAGE:
-                key = (mean, top, tuple(reversed(sorted(alive[i] + alive[j]))))
-                if best is None or key > best[0]:
-                    best = (key, i, j)
-        if best is None:
-            break
-        _, i, j = best
-        k = max(alive) + 1
-        new = tuple(sorted(alive.pop(i) + alive.pop(j)))
-        for other in alive:
-            a, b = links[min(i, other), max(i, other)], links[min(j, other), max(j, other)]
-            links[other, k] = (a[0] + b[0], max(a[1], b[1]))
-        links = {p: v for p, v in links.items() if not {i, j} & set(p)}
-        alive[k] = new
+    ``copy_of`` names a member's class where that is not the member itself; ``affinity`` is then that of classes,
+    (c, c) that of the members of a class among each other. Classes of affinity 1 to themselves and less to all
+    others would merge first, each in descending order of its members, so they are merged to begin with.
+    """
+    copy_of = copy_of or {}
+    members = sorted(set(members))
+    kinds: dict = {}
+    for m in members:
+        kinds.setdefault(copy_of.get(m, m), []).append(m)
+    cross = {(x, y): v for (x, y), v in affinity.items() if x != y and x in kinds and y in kinds}
+    apart = all(v < APART for v in cross.values())
+    # what has no strong pair stays alone
+    tied = {k for pair, v in cross.items() if v >= STRONG for k in pair} | {k for k, own in kinds.items() if len(own) > 1 and affinity.get((k, k), 0.0) >= STRONG}
+    parts = sorted(((k, part) for k in tied for part in ([kinds[k]] if apart and affinity.get((k, k)) == 1.0 else [[m] for m in kinds[k]])), key=lambda x: x[1][-1])
+    at: dict = {}
+    for i, (k, _) in enumerate(parts):
+        at.setdefault(k, []).append(i)
+    n = len(parts)
+    one = np.zeros((n, n))  # affinity of a member of either part
+    for (x, y), v in affinity.items():
+        if x in at and y in at:
+            i, j = np.ix_(at[x], at[y])
+            one[i, j] = v
+            one[j.T, i.T] = v
+    size = np.array([len(p) for _, p in parts], np.int64)
+    total = one.copy()
+    for i in range(n):  # added up one by one, as single members that merge would be: the earlier part first
+        for j in np.flatnonzero(one[i, :i] * ((size[i] > 1) | (size[:i] > 1))):
+            x = np.cumsum(np.full(size[i], one[i, j]))[-1]
+            total[i, j] = total[j, i] = np.cumsum(np.full(size[j], x))[-1]
     most = max(3, int(len(members) * largest))
     out = []
-    for c in sorted(alive.values()):
-        if 2 <= len(c) <= most:
-            own = [of(x, y) for n, x in enumerate(c) for y in c[n + 1 :]]
-            if (mean := sum(own) / len(own)) >= COHESION:
-                out.append((list(c), mean))
-    return out
+    for c in _merged(total, one.copy(), size.copy()):
+        own = sorted(m for i in c for m in parts[i][1])
+        if 2 <= len(own) <= most:
+            c = sorted(c, key=lambda i: parts[i][1][0])
+            i, j = np.triu_indices(len(c), 1)
+            i, j = np.array(c, np.int64)[i], np.array(c, np.int64)[j]
+            if (size[c] == 1).all():
+                mean = _mean(one[i, j], None)
+            else:
+                within = size[c] * (size[c] - 1) // 2
+                mean = _mean(np.concatenate([one[i, j], one[c, c]]), np.concatenate([size[i] * size[j], within]))
+            if mean >= COHESION:
+                out.append((own, mean))
+    return sorted(out)
+
 
+def average_link(members: DataFrame, pairs: DataFrame, group: str, member: str, largest: float = LARGEST, copy_of: str | None = None) -> DataFrame:
+    """(group, cluster, member, cohesion); cluster is its least member. pairs: (group, a, b, affinity), a < b.
 
-def average_link(members: DataFrame, pairs: DataFrame, group: str, member: str, largest: float = LARGEST) -> DataFrame:
-    """(group, cluster, member, cohesion); cluster is its least member. pairs: (group, a, b, affinity), a < b."""
+    With ``copy_of``, a column of ``members`` with the class of each, pairs are of classes, and a = b those of the members of one class.
+    """
     kind, key = members.schema[member].dataType.simpleString(), members.schema[group].dataType.simpleString()
-    rows = members.select(group, F.col(member).alias("a"), F.lit(None).cast(kind).alias("b"), F.lit(0.0).alias("affinity")).unionByName(pairs.select(group, "a", "b", "affinity"))
+    own = members.where(F.col(member).isNotNull()).select(group, F.col(member).alias("a"), F.col(copy_of or member).alias("b"), F.lit(None).cast("double").alias("affinity"))
+    rows = own.unionByName(pairs.where("affinity is not null").select(group, "a", "b", "affinity"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf.b.isna()].a.tolist()
-        links = pdf[pdf.b.notna()]
-        affinity = {(type(a)(a), type(a)(b)): v for a, b, v in zip(links.a, links.b, links.affinity, strict=True)}
-        out = [(pdf[group].iloc[0], c[0], m, mean) for c, mean in agglomerate(own, affinity, largest) for m in c]
+        own, links = pdf[pdf.affinity.isna()], pdf[pdf.affinity.notna()]
+        affinity = dict(zip(zip(links.a.tolist(), links.b.tolist(), strict=True), links.affinity.tolist(), strict=True))
+        out = [(pdf[group].iloc[0], c[0], m, mean) for c, mean in agglomerate(own.a.tolist(), affinity, largest, dict(zip(own.a.tolist(), own.b.tolist(), strict=True))) for m in c]
         return pd.DataFrame(out, columns=[group, "cluster", "member", "cohesion"])
 
     return rows.groupBy(group).applyInPandas(run, f"{group} {key}, cluster {kind}, member {kind}, cohesion double")

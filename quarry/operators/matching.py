@@ -25,11 +25,11 @@ def best_match(pairs: DataFrame, left: DataFrame, right: DataFrame, left_id: str
     return best.select(left_id, F.col("best.id").alias(right_id), (-F.col("best.neg")).alias("similarity"))
 
 
-def pairs_within(df: DataFrame, by: Sequence[str], member: str, carry: Sequence[str]) -> DataFrame:
-    """All unordered pairs of members of the same (small) group: a, b, and both sides' carried columns."""
+def pairs_within(df: DataFrame, by: Sequence[str], member: str, carry: Sequence[str], with_self: bool = False) -> DataFrame:
+    """All unordered pairs of members of the same (small) group: a, b, and both sides' carried columns; on request a member with itself too."""
     a = df.select(*by, F.col(member).alias("a"), *[F.col(c).alias(f"a_{c}") for c in carry])
     b = df.select(*by, F.col(member).alias("b"), *[F.col(c).alias(f"b_{c}") for c in carry])
-    return a.join(b, list(by)).where("a < b")
+    return a.join(b, list(by)).where("a <= b" if with_self else "a < b")
 
 
 def similar_size(a: Column, b: Column) -> Column:

@@ -111,3 +111,21 @@ def test_streaming_lifecycle(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["scan"], r["state"]) for r in spark.sql("select * from life").collect()) == [(1, "new"), (2, "persisting"), (3, "resolved")]
+
+
+def test_clusters_of_copies_equal_those_of_all_members(spark):
+    import random
+
+    pick, want, members, pairs = random.Random(3), [], [], []
+    for g in range(12):
+        ids = pick.sample(range(100), 14)
+        of = {m: pick.randrange(5) for m in ids}
+        sim = {(x, y): 1.0 if x == y and x < 4 else pick.choice([0.0, 0.2, 0.5]) for x in range(5) for y in range(x, 5)} | {(4, 4): 0.0}
+        least = {k: min(m for m in ids if of[m] == k) for k in set(of.values())}
+        every = {(a, b): sim[tuple(sorted((of[a], of[b])))] for a in ids for b in ids if a < b}
+        want += [(g, c[0], m, round(mean, 12)) for c, mean in clusters.agglomerate(ids, every) for m in c]
+        members += [(g, m, least[of[m]]) for m in ids]
+        pairs += [(g, *sorted((least[x], least[y])), v) for (x, y), v in sim.items() if x in least and y in least]
+    m, p = spark.createDataFrame(members, "g int, m int, c int"), spark.createDataFrame(pairs, "g int, a int, b int, affinity double")
+    got = clusters.average_link(m, p, "g", "m", copy_of="c")
+    assert want and sorted((r[0], r[1], r[2], round(r[3], 12)) for r in got.collect()) == sorted(want)
