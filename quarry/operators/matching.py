@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import jaccard
+from quarry.functions.storage import materialise
 
 
 def block_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: str, right_tokens: str, by: Sequence[str] = (), at_least: int = 2) -> DataFrame:
@@ -52,5 +53,44 @@ def similarities_within(df: DataFrame, by: Sequence[str], member: str, tokens: s
     return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
 
 
+def _least_two(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, first, second): the two least ids of each key; second is null where there is one."""
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("id"))  # Spark limits it before its exchange
+    two = rows.withColumn("__rank", rank).where("__rank <= 2").groupBy(*keys).agg(F.min("id").alias("first"), F.max("id").alias("second"))
+    return two.withColumn("second", F.nullif("second", "first"))
+
+
+def best_within(df: DataFrame, by: Sequence[str], member: str, tokens: str, size: str) -> DataFrame:
+    """(a, b, similarity): each member's most similar other member of its group with a similar size, by Jaccard of their tokens (not null); ties go to the least.
+
+    Members with the same tokens and size are one kind, those with the same tokens a family. A kind meets the families of
+    its group, and the kinds of a family only where not all of those are of similar size. Two ids of each are enough,
+    as a member leaves out only itself.
+    """
+    by = list(by)
+    rows = df.where(F.col(member).isNotNull() & (F.col(size) > 0) & ~F.isnan(size)).select(*by, F.col(tokens).alias("w"), F.col(size).alias("size"), F.col(member).alias("id"))
+    kinds = materialise(_least_two(rows, [*by, "w", "size"]), "kinds")
+    ids = kinds.select(*by, "w", F.explode(F.array_compact(F.array("first", "second"))).alias("id"))
+    families = _least_two(ids, [*by, "w"]).join(kinds.groupBy(*by, "w").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), [*by, "w"])
+    families = families.select(*by, F.col("w").alias("v"), "first", "second", "lo", "hi")
+    met = kinds.select(*by, "w", "size").join(families, by).withColumn("sim", jaccard(F.col("w"), F.col("v")))
+    whole = similar_size(F.col("size"), F.col("lo")) & similar_size(F.col("size"), F.col("hi"))
+    part = ~whole & (F.col("size") / F.col("lo") >= LEAST_SIZE) & (F.col("size") / F.col("hi") <= MOST_SIZE)
+    single = kinds.select(*by, F.col("w").alias("v"), F.col("size").alias("own"), "first", "second")
+    split = met.where(part).drop("first", "second").join(single, [*by, "v"]).where(similar_size(F.col("size"), F.col("own")))
+    options = met.where(whole).select(*by, "w", "size", "sim", "first", "second").unionByName(split.select(*by, "w", "size", "sim", "first", "second"))
+    options = materialise(options.select(*by, "w", "size", F.explode(F.array_compact(F.array("first", "second"))).alias("b"), (-F.col("sim")).alias("neg")), "options")
+    key, best = [*by, "w", "size"], F.min(F.struct("neg", "b"))
+    first = options.groupBy(*key).agg(best.alias("m"))
+    # for the member that is its kind's best option itself
+    second = options.join(first, key).where(F.col("b") != F.col("m.b")).groupBy(*key).agg(best.alias("n"))
+    found = rows.join(first.join(second, key, "left"), key).select("id", F.when(F.col("id") == F.col("m.b"), F.col("n")).otherwise(F.col("m")).alias("m"))
+    found = found.where("m is not null").groupBy(F.col("id").alias("a")).agg(F.min("m").alias("m"))  # ids may repeat
+    return found.select("a", F.col("m.b").alias("b"), (-F.col("m.neg")).alias("similarity"))
+
+
+LEAST_SIZE, MOST_SIZE = 0.35, 2.85
+
+
 def similar_size(a: Column, b: Column) -> Column:
-    return (a > 0) & (b > 0) & (a / b).between(0.35, 2.85)
+    return (a > 0) & (b > 0) & (a / b).between(LEAST_SIZE, MOST_SIZE)

@@ -144,3 +144,21 @@ def test_similarities_are_made_once_for_members_with_the_same_words(spark):
     # the arrays are compared before copies are expanded
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(ids_b") < plan.index("array_intersect")
+
+
+def test_best_within_equals_all_pairs_whatever_the_sizes(spark):
+    import random
+
+    pick = random.Random(5)
+    data = [(pick.randrange(3), i, pick.choice([["a", "b"], ["a", "c"], ["a", "b", "c"], [], ["z"]]), pick.choice([1.0, 2.0, 2.9, 5.0, 9.0, 30.0, 0.0, None, -1.0, float("nan")])) for i in range(120)]
+    data += [(0, 7, ["a", "b"], 2.0), (1, 7, ["q"], 2.0), (None, 900, ["a"], 1.0), (None, 901, ["a"], 1.0), (9, 902, ["a"], 1.0)]
+    df = spark.createDataFrame(data, "g int, id int, w array<string>, s double")
+    fit = lambda x, y: x is not None and y is not None and x > 0 and y > 0 and 0.35 <= x / y <= 2.85
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
+    want = {}
+    for g, i, x, p in data:
+        for h, j, y, q in data:
+            if g is not None and g == h and i != j and fit(p, q):
+                want[i] = min(want.get(i, (9, 9)), (-share(x, y), j))
+    got = matching.best_within(df, ["g"], "id", "w", "s")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, j, -neg) for i, (neg, j) in want.items())
