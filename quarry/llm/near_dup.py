@@ -37,6 +37,7 @@ BANDS = 14
 ROWS = 4
 DF_BITS = 16
 MEMO = 250_000
+BLOCK = 16_000
 WORD = re.compile(r"\w+")
 #: A pair with true similarity THRESHOLD shares fewer of its 56 sampled bytes with a probability below 1e-5.
 SKETCH_MIN = 0.55
@@ -51,18 +52,21 @@ class Shingles:
         self.mult = rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
     def words(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
+        """Hashes of the words in order."""
+        return self._hashed(WORD.findall(text.lower()))
+
+    def vocabulary(self, text: str) -> np.ndarray:
+        """Hashes of the distinct words."""
+        return self._hashed(set(WORD.findall(text.lower())))
+
+    def _hashed(self, words: list[str] | set[str]) -> np.ndarray:
         memo = self.memo
-        try:
-            return np.array([memo[w] for w in words], np.uint64)
-        except KeyError:
-            if len(memo) > MEMO:
-                memo.clear()
-            for w in set(words):
-                if w not in memo:
-                    raw = w.encode()
-                    memo[w] = (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-            return np.array([memo[w] for w in words], np.uint64)
+        if len(memo) > MEMO:
+            memo.clear()
+        for w in set(words).difference(memo):
+            raw = w.encode()
+            memo[w] = (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x9E3779B9)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+        return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
     def bucket(self, words: np.ndarray) -> np.ndarray:
         return (words >> np.uint64(64 - DF_BITS)).astype(np.int64)
@@ -91,7 +95,7 @@ def idf_table(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    held[np.unique(make.bucket(make.words(text)))] += 1
+                    held[np.unique(make.bucket(make.vocabulary(text)))] += 1
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([held.tobytes()], pa.binary())], ["n", "held"])
 
@@ -126,25 +130,55 @@ class Sampler:
         self.seed = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
     def __call__(self, ids: np.ndarray, weights: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-        """uint32 samples, one row per text; texts are ids[ptr[i]:ptr[i + 1]], none of them empty."""
+        """uint32 samples, one row per text; texts are ids[ptr[i]:ptr[i + 1]], none of them empty.
+
+        All steps write into the same few arrays, which stay in the processor's cache for up to about BLOCK shingles.
+        """
+        n, low, at = len(ids), np.uint64((1 << self.POOL) - 1), ptr[:-1]
         lns = np.log(weights).astype(np.float32)
-        out = np.empty((len(ptr) - 1, BANDS * ROWS), np.uint32)
-        low = np.uint64((1 << self.POOL) - 1)
+        out = np.empty((len(at), BANDS * ROWS), np.uint32)
+        h, x = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        pick, high = x.view(np.int64), h.view("<u4")[1::2]
+        a, b, c, t = (np.empty(n, np.float32) for _ in range(4))
+        sign, step, key = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, "<i8")
+        order, name, steps = key.view("<i4")[1::2], key.view("<u4")[::2], step.view(np.uint32)
+
+        def mixed(shift: int) -> None:
+            np.right_shift(h, np.uint64(shift), out=x)
+            np.bitwise_xor(h, x, out=h)
+
+        def drawn(shift: int) -> None:
+            np.right_shift(h, np.uint64(shift), out=x)
+            np.bitwise_and(x, low, out=x)
+
         for k, seed in enumerate(self.seed):
-            h = ids * seed
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(29)
-            a = (h & low).astype(np.int32)
-            b = (h >> np.uint64(self.POOL) & low).astype(np.int32)
-            c = (h >> np.uint64(2 * self.POOL) & low).astype(np.int32)
-            beta = self.beta[c]
-            t = np.floor(lns * self.inv[a] + beta)
-            lna = self.lnc[b] - self.r[a] * (t - beta + 1)
-            bits = lna.view(np.uint32)
-            order = np.where(bits >> 31, ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-            name = (h >> np.uint64(32)).astype(np.uint32) + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
-            out[:, k] = np.minimum.reduceat(order << np.uint64(32) | name, ptr[:-1]).astype(np.uint32)
+            np.multiply(ids, seed, out=h)
+            mixed(32)
+            np.multiply(h, np.uint64(0xD6E8FEB86659FD93), out=h)
+            mixed(29)
+            drawn(0)
+            np.take(self.inv, pick, out=t, mode="clip")
+            np.take(self.r, pick, out=a, mode="clip")
+            drawn(self.POOL)
+            np.take(self.lnc, pick, out=b, mode="clip")
+            drawn(2 * self.POOL)
+            np.take(self.beta, pick, out=c, mode="clip")
+            np.multiply(lns, t, out=t)
+            np.add(t, c, out=t)
+            np.floor(t, out=t)
+            np.subtract(t, c, out=c)
+            np.add(c, np.float32(1), out=c)
+            np.multiply(a, c, out=a)
+            np.subtract(b, a, out=b)  # ln a = ln c - r (t - beta + 1)
+            # as integers in the same order: the bits of a negative one but for its sign are turned
+            bits = b.view(np.int32)
+            np.right_shift(bits, 31, out=sign)
+            np.bitwise_and(sign, 0x7FFFFFFF, out=sign)
+            np.bitwise_xor(bits, sign, out=order)
+            step[:] = t
+            np.multiply(steps, np.uint32(0x9E3779B1), out=steps)
+            np.add(steps, high, out=name)
+            out[:, k] = np.minimum.reduceat(key, at).astype(np.uint32)
         return out
 
 
@@ -179,7 +213,7 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str) -> DataFrame:
                         held.append(got)
                         held_at.append(k)
                         size += len(got[0])
-                if held and (size > 200_000 or k == len(texts)):
+                if held and (size > BLOCK or k == len(texts)):
                     ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in held])])
                     s = sample(np.concatenate([i for i, _ in held]), np.concatenate([w for _, w in held]), ptr)
                     bands.append(_bands(s))

@@ -367,3 +367,23 @@ def test_line_templates_count_every_independent_document(spark, frame, rng):
         texts.append(" ".join(w))
     got = line_templates.dedup(frame([(i, t, "en") for i, t in enumerate(texts)]))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == dict(enumerate(texts))
+
+
+def test_samples_equal_the_plain_formula():
+    sample, rng = near_dup.Sampler(), np.random.default_rng(4)
+    ptr = np.array([0, 1, 40, 300])
+    ids, weights = rng.integers(0, 2**64, 300, dtype=np.uint64), np.exp(rng.normal(0, 6, 300))
+    lns, low, want = np.log(weights).astype(np.float32), np.uint64(4095), []
+    for seed in sample.seed:
+        h = ids * seed
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        a, b, c = (h & low).astype(int), (h >> np.uint64(12) & low).astype(int), (h >> np.uint64(24) & low).astype(int)
+        t = np.floor(lns * sample.inv[a] + sample.beta[c])
+        lna = sample.lnc[b] - sample.r[a] * (t - sample.beta[c] + 1)
+        name = (h >> np.uint64(32)).astype(np.uint32) + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+        want.append([min(zip(lna[i:j].tolist(), name[i:j].tolist(), strict=True))[1] for i, j in zip(ptr, ptr[1:], strict=False)])
+    assert (sample(ids, weights, ptr) == np.array(want).T).all()
+    make = near_dup.Shingles(None)
+    assert set(make.vocabulary("b a B c a").tolist()) == set(make.words("a b c").tolist()) and len(make.vocabulary("")) == 0
