@@ -8,6 +8,9 @@ Training takes a bounded sample: at most about ``max_train`` labelled rows, pick
 their features are made on the executors, the driver only runs the gradient steps. Scoring is one narrow
 pass over whole texts.
 
+Features of a text are summed over pieces of PIECE characters, cut at white space, and only a few texts are
+Python strings or features at once, so a long text takes little more memory than its own size.
+
 Results for odd input: null and empty texts are scored on their (zero) features; null metadata counts as 0;
 ids labelled more than once count with their mean label; labels other than 0 and 1 and null ids teach
 nothing; with fewer than two classes to learn from, the score is the share of label 1 (0.5 without any);
@@ -16,9 +19,10 @@ repeated rows give repeated results; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,12 @@ BITS = 18
 RANK = 8
 SHAPES = 256
 MEMO = 250_000
+#: Characters of words that are remembered, and characters of a text that are looked at, at once.
+MEMO_CHARS = 1 << 24
+PIECE = 1 << 20
+#: Texts, and features of texts, that are scored at once.
+ROWS = 512
+FEATURES = 1 << 18
 STATS = (
     "log_bytes", "upper", "digit", "space", "newline", "plain_punct", "symbol", "wide", "control",
     "log_words", "mean_word", "long_words", "types", "no_letter", "caps_words", "repeats", "lines_repeated", "log_mean_line", "ends_stop",
@@ -44,9 +54,26 @@ _RUNS = [(re.compile(p), r) for p, r in ((r"[a-zà-öø-ÿ]+", "a"), (r"[A-ZÀ-
 
 def shape(word: str) -> str:
     """Runs of lower and upper letters, digits and repeated signs, each as one mark; 8 marks at most count."""
-    for p, r in _RUNS:
-        word = p.sub(r, word)
-    return word[:8]
+    n = 1024
+    while True:
+        marks = word[:n]
+        for p, r in _RUNS:
+            marks = p.sub(r, marks)
+        if n >= len(word) or len(marks) > 9:  # what follows may still change the last two marks
+            return marks[:8]
+        n *= 8
+
+
+_SPACE, _LINE = re.compile(r"\s"), re.compile("\n")
+
+
+def pieces(text: str, at: re.Pattern) -> Iterator[str]:
+    """The text cut at matches of ``at`` (one character, which goes) about each PIECE characters."""
+    lo = 0
+    while len(text) - lo > PIECE and (m := at.search(text, lo + PIECE)):
+        yield text[lo : m.start()]
+        lo = m.end()
+    yield text[lo:]
 
 
 class Features:
@@ -54,43 +81,91 @@ class Features:
 
     def __init__(self, n_meta: int):
         self.memo: dict[str, int] = {}
+        self.held = 0
         self.n_dense = len(STATS) + n_meta
         self.size = (1 << BITS) + SHAPES + self.n_dense
 
     def _learn(self, words) -> None:
-        if len(self.memo) > MEMO:
+        if len(self.memo) > MEMO or self.held > MEMO_CHARS:
             self.memo.clear()
+            self.held = 0
         for w in words:
             if w not in self.memo:
                 self.memo[w] = (zlib.crc32(w.lower().encode()) & ((1 << BITS) - 1)) << 8 | (zlib.crc32(shape(w).encode()) % SHAPES)
+                self.held += len(w)
 
-    def __call__(self, text: str, meta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        words = text.split()
-        n, m = max(len(raw), 1), max(len(words), 1)
-        kinds = np.bincount(CLASS[raw], minlength=9) / n
+    def _named(self, words: list[str]) -> np.ndarray:
+        """Word and shape of each word, as one number."""
         memo = self.memo
         try:
-            both = np.array([memo[w] for w in words], np.int64)
+            return np.array([memo[w] for w in words], np.int64)
         except KeyError:
             self._learn(set(words))
-            both = np.array([memo[w] for w in words], np.int64)
-        ids, count = np.unique(both >> 8, return_counts=True)
-        shapes = np.bincount(both & 255, minlength=SHAPES) / m if len(words) else np.zeros(SHAPES)
-        lines = [x for x in text.split("\n") if x]
-        sizes = np.array([len(w) for w in words] or [0])
-        same = float((both[1:] == both[:-1]).mean()) if len(both) > 1 else 0.0
+            return np.array([memo[w] for w in words], np.int64)
+
+    def _words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word ids, their counts, counts of shapes; words, their characters, words of over 20, words that begin with a letter, in capitals, equal to the word before."""
+        parts = pieces(text, _SPACE)
+        total, shapes, sums, last = None, np.zeros(SHAPES, np.int64), np.zeros(6, np.int64), np.zeros(0, np.int64)
+        for part in parts:
+            words = part.split()
+            both = self._named(words)
+            sizes = np.array([len(w) for w in words], np.int64)
+            shapes += np.bincount(both & 255, minlength=SHAPES)
+            row = np.concatenate([last, both])
+            sums += [len(words), sizes.sum(), (sizes > 20).sum(), sum(map(str.isalpha, (w[:1] for w in words))), sum(map(str.isupper, words)), (row[1:] == row[:-1]).sum()]
+            last = row[-1:]
+            if len(text) <= PIECE:
+                return *np.unique(both >> 8, return_counts=True), shapes, sums
+            total = np.bincount(both >> 8, minlength=1 << BITS) + (0 if total is None else total)
+        ids = np.flatnonzero(total)
+        return ids, total[ids], shapes, sums
+
+    def _lines(self, text: str) -> tuple[int, int, int]:
+        """Lines that are not empty, those that differ (of long texts by 64-bit names), those that end a sentence."""
+        n, ends, names = 0, 0, np.zeros(0, "<u8")
+        for part in pieces(text, _LINE):
+            lines = [x for x in part.split("\n") if x]
+            n += len(lines)
+            ends += sum(x[-1] in ".!?" for x in lines)
+            if len(text) <= PIECE:
+                return n, len(set(lines)), ends
+            names = np.union1d(names, np.frombuffer(b"".join(hashlib.blake2b(x.encode(), digest_size=8).digest() for x in set(lines)), "<u8"))
+        return n, len(names), ends
+
+    def __call__(self, text: str, meta: Sequence[float]) -> tuple[np.ndarray, np.ndarray]:
+        size, kinds = 0, np.zeros(9, np.int64)
+        for k in range(0, len(text), PIECE):
+            raw = np.frombuffer(text[k : k + PIECE].encode(), np.uint8)
+            size += len(raw)
+            kinds += np.bincount(CLASS[raw], minlength=9)
+        ids, count, shapes, (n_words, chars, long, letter, caps, same) = self._words(text)
+        n_lines, n_kinds, ends = self._lines(text)
+        n, m, k = max(size, 1), max(n_words, 1), max(n_lines, 1)
         dense = [
-            np.log1p(len(raw)) / 10, *kinds[1:9],
-            np.log1p(len(words)) / 10, sizes.mean() / 10, float((sizes > 20).mean()), len(ids) / m,
-            1 - sum(map(str.isalpha, (w[:1] for w in words))) / m, sum(map(str.isupper, words)) / m, same,
-            1 - len(set(lines)) / max(len(lines), 1), np.log1p(len(text) / max(len(lines), 1)) / 10,
-            sum(x[-1] in ".!?" for x in lines) / max(len(lines), 1), *meta,
+            np.log1p(size) / 10, *(kinds / n)[1:9],
+            np.log1p(n_words) / 10, chars / m / 10, long / m, len(ids) / m,
+            1 - letter / m, caps / m, same / max(n_words - 1, 1),
+            1 - n_kinds / k, np.log1p(len(text) / k) / 10,
+            ends / k, *meta,
         ]
+        shapes = shapes / m
         at = np.flatnonzero(shapes)
         where = np.concatenate([ids, (1 << BITS) + at, (1 << BITS) + SHAPES + np.arange(self.n_dense)])
         return where, np.concatenate([np.sqrt(count / m), shapes[at], dense]).astype(np.float32)
 
+    def groups(self, texts: pa.Array, metas: Iterable[Sequence[float]]) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        """Features of the texts (null: empty), a few at a time; only one text is a Python string at a time."""
+        got, n = [], 0
+        for text, meta in zip(texts, metas, strict=True):
+            got.append(self(text.as_py() or "", meta))
+            n += len(got[-1][0])
+            if len(got) == ROWS or n >= FEATURES:
+                yield got
+                got, n = [], 0
+        if got:
+            yield got
+
 
 class Machine:
     """w0, w and V; scores are probabilities of label 1."""
@@ -153,8 +228,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str
     def run(batches):
         make = Features(n_meta)
         for batch in batches:
-            got = [make(t, m) for t, m in zip(batch.column("text").to_pylist(), batch.column("meta").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()), batch.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], ["id", "y", "ids", "x"])
+            k = 0
+            for got in make.groups(batch.column("text"), batch.column("meta").to_pylist()):
+                rows, k = batch.slice(k, len(got)), k + len(got)
+                yield pa.RecordBatch.from_arrays([rows.column("id").cast(pa.string()), rows.column("y"), pa.array([i.astype("<i4").tobytes() for i, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary())], ["id", "y", "ids", "x"])
 
     joined = docs.select(*_columns(docs, id_col, text_col, meta)).join(F.broadcast(sample), "id")
     rows = sorted(joined.mapInArrow(run, "id string, y double, ids binary, x binary").collect(), key=lambda r: (r["id"], r["ids"]))
@@ -171,14 +248,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str
 def _scorer(machine: Machine):
     make = Features(len(machine.w) - (1 << BITS) - SHAPES - len(STATS))
 
-    def score_all(texts: list[str], metas: list[list[float]]) -> np.ndarray:
-        scores = np.zeros(len(texts))
-        for k in range(0, len(texts), 512):
-            got = [make(t, v) for t, v in zip(texts[k : k + 512], metas[k : k + 512], strict=True)]
+    def score_all(texts: pa.Array, metas: Iterable[Sequence[float]]) -> np.ndarray:
+        scores = [np.zeros(0)]
+        for got in make.groups(texts, metas):
             ptr = np.concatenate([[0], np.cumsum([len(i) for i, _ in got])])
             z, _ = machine.raw(np.concatenate([i for i, _ in got]), np.concatenate([x for _, x in got]), ptr)
-            scores[k : k + 512] = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
-        return scores
+            scores.append(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))))
+        return np.concatenate(scores)
 
     return score_all
 
@@ -201,7 +277,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     def run(batches):
         score_all = _scorer(_received(sent))
         for batch in batches:
-            scores = score_all(batch.column("text").to_pylist(), batch.column("meta").to_pylist())
+            scores = score_all(batch.column("text"), batch.column("meta").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], ["id", "score"])
 
     rows = docs.select(*_columns(docs, id_col, text_col, meta))
@@ -217,7 +293,7 @@ def keep(docs: DataFrame, machine: Machine, threshold: float, text_col: str = "t
         score_all = _scorer(_received(sent))
         for batch in batches:
             values = [np.log1p(np.maximum(np.nan_to_num(batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)), 0)) / 10 for c in places] or [np.zeros(batch.num_rows)]
-            scores = score_all([t or "" for t in batch.column(at).to_pylist()], np.stack(values, axis=1).tolist())
+            scores = score_all(batch.column(at), np.stack(values, axis=1).tolist())
             yield batch.filter(pa.array(scores >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

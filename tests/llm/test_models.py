@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA
 from hypothesis import given, settings
@@ -252,6 +254,39 @@ def test_quality_odd_rows(spark, frame, rng):
     assert quality_fm.score(frame([]), machine).count() == 0
 
 
+def test_quality_long_text_takes_little_memory():
+    text = "\n".join(f"Line {i} holds {i * 7919 % 100_003} words, {i % 977} of them in CAPITALS." for i in range(120_000))
+    tracemalloc.start()
+    quality_fm.Features(1)(text, [0.0])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) > 6_000_000 and peak < 12 * len(text), peak / len(text)
+
+
+def test_quality_features_by_pieces(rng, monkeypatch):
+    texts = ["", " ", "\n\n a\n", "x y\x85z", "日本語。" * 700, "aB9$" * 900 + " " + "$" * 3000, "so so so. " * 300, *[f"{prose(rng, n=300)}\n{prose(rng, 'fr', 200)}\n\nSame.\nSame.\n" for _ in range(5)]]
+    whole = [quality_fm.Features(1)(t, [0.5]) for t in texts]
+    monkeypatch.setattr(quality_fm, "PIECE", 100)
+    monkeypatch.setattr(quality_fm, "MEMO_CHARS", 50)
+    monkeypatch.setattr(quality_fm, "FEATURES", 400)
+    make = quality_fm.Features(1)
+    for t, (ids, x) in zip(texts, whole, strict=True):
+        got = make(t, [0.5])
+        assert np.array_equal(got[0], ids) and np.array_equal(got[1], x)
+    assert make.held < 50 + 6600 + 100  # the longest piece
+    groups = list(make.groups(pa.array([*texts, None]), [[0.5]] * (len(texts) + 1)))
+    assert len(groups) > 3 and all(np.array_equal(a[1], b[1]) for a, b in zip([r for g in groups for r in g], [*whole, whole[0]], strict=True))
+
+
+def test_quality_shape_of_long_words(rng):
+    for alphabet in ("aB9$", "$", "aé", "Σσ-_", "a$$$$b"):
+        word = "".join(rng.choice(alphabet) for _ in range(9000))
+        marks = word
+        for pattern, mark in quality_fm._RUNS:
+            marks = pattern.sub(mark, marks)
+        assert quality_fm.shape(word) == marks[:8]
+
+
 # -- the pipeline -------------------------------------------------------------------------------
 def test_pipeline(spark):
     pytest.importorskip("corpus_pipeline")
