@@ -33,24 +33,32 @@ def pairs_within(df: DataFrame, by: Sequence[str], member: str, carry: Sequence[
     return a.join(b, list(by)).where("a <= b" if with_self else "a < b")
 
 
-def similarities_within(df: DataFrame, by: Sequence[str], member: str, tokens: str, digits: int, at_once: int = 256) -> DataFrame:
-    """(a, b, similarity) of all unordered pairs of members of the same group: Jaccard of their tokens (not null), rounded.
+def similarities_within(df: DataFrame, by: Sequence[str], member: str, tokens: str, digits: int, at_once: int = 256, empty: float = 0.0) -> DataFrame:
+    """(a, b, similarity) of all unordered pairs of members of the same group: Jaccard of their tokens, rounded; ``empty`` where both are empty.
 
-    Members with the same tokens are compared with others once, ``at_once`` of them in a row.
+    Null tokens count as none; the similarity is null where those of ``a`` are null.
+
+    Members with the same tokens are compared with others once, ``at_once`` of them in a row. The ids are sorted: both sides
+    of the join are made apart, and rows from a shuffle come to each in another order.
     """
-    kinds = df.select(*by, F.col(member).alias("id"), F.col(tokens).alias("w")).groupBy(*by, "w").agg(F.collect_list("id").alias("ids"))
+    kinds = df.select(*by, F.col(member).alias("id"), F.col(tokens).alias("w")).groupBy(*by, "w").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("ids"), F.lit(1)), F.lit(at_once))
     rows = kinds.select(*by, "w", "ids", F.explode(starts).alias("part")).withColumn("ids", F.slice("ids", F.col("part"), F.lit(at_once))).where(F.size("ids") > 0)
     rows = rows.withColumn("first", F.col("ids")[0])  # orders rows by itself where ids are unique
     a, b = (rows.select(*by, *[F.col(c).alias(f"{c}_{x}") for c in ("w", "ids", "part", "first")]) for x in "ab")
     full = lambda x: F.struct(f"w_{x}", f"part_{x}")
     ordered = (F.col("first_a") < F.col("first_b")) | ((F.col("first_a") == F.col("first_b")) & (full("a") <= full("b")))
+    none = F.array().cast("array<string>")
+    own, other = F.coalesce("w_a", none), F.coalesce("w_b", none)
+    share = F.when((F.size(own) == 0) & (F.size(other) == 0), F.lit(float(empty))).otherwise(F.round(jaccard(own, other), digits))
     pairs = a.join(b, list(by)).where(ordered).select(
-        "ids_a", "ids_b", F.round(jaccard(F.col("w_a"), F.col("w_b")), digits).alias("similarity"), ((F.col("first_a") == F.col("first_b")) & (full("a") == full("b"))).alias("self")
+        "ids_a", "ids_b", F.col("w_a").isNull().alias("null_a"), F.col("w_b").isNull().alias("null_b"), share.alias("similarity"), ((F.col("first_a") == F.col("first_b")) & (full("a") == full("b"))).alias("self")
     )
-    each = pairs.select(F.explode("ids_a").alias("x"), "ids_b", "similarity", "self").select("x", F.explode("ids_b").alias("y"), "similarity", "self")
+    carry = ("null_a", "null_b", "similarity", "self")
+    each = pairs.select(F.explode("ids_a").alias("x"), "ids_b", *carry).select("x", F.explode("ids_b").alias("y"), *carry)
     each = each.where((F.col("x") < F.col("y")) | (~F.col("self") & (F.col("x") != F.col("y"))))
-    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    known = ~F.when(F.col("x") < F.col("y"), F.col("null_a")).otherwise(F.col("null_b"))
+    return each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(known, F.col("similarity")).alias("similarity"))
 
 
 def _least_two(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
