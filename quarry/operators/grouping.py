@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.storage import materialise
+
 
 def duplicate_groups(df: DataFrame, key: Sequence[str | Column], member: str, at_least: int = 2) -> DataFrame:
     """(key.., members, first) of the keys that ``at_least`` distinct members share; partial counts run before the shuffle."""
@@ -41,6 +43,28 @@ def cochange(df: DataFrame, event: str, item: str, max_items: int = 100, min_pai
     return both.where(F.least("na", "nb") >= 2).select("a", "b", "pair_count", F.round(F.col("pair_count") / F.least("na", "nb"), 3).alias("affinity"))
 
 
+def cochange_within(df: DataFrame, event: str, item: str, groups: DataFrame, group: str, max_items: int = 100, min_pair: int = 2) -> DataFrame:
+    """(group, a, b, pair_count, affinity): as ``cochange``, of pairs of items of the same group of ``groups`` (item, group) alone.
+
+    Only events that hold two items of a group are gathered; those are found by a hash of the group, which may let others through.
+    """
+    rows = df.select(F.col(event).alias("e"), F.col(item).alias("i")).where("e is not null and i is not null")
+    known = groups.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i is not null and g is not null")
+    met = rows.join(known.select("i", F.xxhash64("g").alias("h")), "i").groupBy("e", "h").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi")
+    met = materialise(met.select("e").distinct(), "met")
+    fits = lambda items: F.size(F.array_distinct(F.transform(items, lambda x: x["i"]))) <= max_items
+    events = rows.join(met, "e", "left_semi").join(known, "i").groupBy("e").agg(F.collect_set(F.struct("g", "i")).alias("items")).where(fits(F.col("items")))
+    first = events.select("items", F.explode("items").alias("x")).select("x", F.explode(F.filter("items", lambda y: (y["g"] == F.col("x.g")) & (y["i"] > F.col("x.i")))).alias("y"))
+    pairs = first.groupBy(F.col("x.g").alias(group), F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count("*").alias("pair_count")).where(F.col("pair_count") >= min_pair)
+    pairs = materialise(pairs, "cochange")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+    uses = materialise(rows.join(paired, "i", "left_semi").distinct(), "uses")
+    large = rows.join(uses.select("e").distinct(), "e", "left_semi").join(known, "i", "left_semi").groupBy("e").agg(F.countDistinct("i").alias("n")).where(F.col("n") > max_items).select("e")
+    each = uses.join(large, "e", "left_anti").groupBy("i").agg(F.count("*").alias("n"))
+    both = pairs.join(each.withColumnsRenamed({"i": "a", "n": "na"}), "a").join(each.withColumnsRenamed({"i": "b", "n": "nb"}), "b")
+    return both.where(F.least("na", "nb") >= 2).select(group, "a", "b", "pair_count", F.round(F.col("pair_count") / F.least("na", "nb"), 3).alias("affinity"))
+
+
 def inbound(edges: DataFrame, nodes: DataFrame, src: str, dst: str, node: str) -> DataFrame:
     """(node, inbound): distinct sources of each node, 0 where there is none."""
     counts = edges.groupBy(F.col(dst).alias(node)).agg(F.countDistinct(src).alias("inbound"))

@@ -132,6 +132,46 @@ def test_clusters_of_copies_equal_those_of_all_members(spark):
     assert want and sorted((r[0], r[1], r[2], round(r[3], 12)) for r in got.collect()) == sorted(want)
 
 
+def test_clusters_count_joint_orders_of_single_members(spark):
+    import random
+
+    pick, moved = random.Random(8), 0
+    for _ in range(40):
+        ids = pick.sample(range(100), 12)
+        of = {m: pick.randrange(5) for m in ids}
+        sim = {(x, y): 1.0 if x == y and x < 4 else pick.choice([0.0, 0.2, 0.375, 0.5]) for x in range(5) for y in range(x, 5)} | {(4, 4): 0.0}
+        least = {k: min(m for m in ids if of[m] == k) for k in set(of.values())}
+        words = {(a, b): sim[tuple(sorted((of[a], of[b])))] for a in ids for b in ids if a < b}
+        more = {p: pick.choice([0.125, 0.25, 0.35]) for p in pick.sample(sorted(words), 8)}
+        every = {p: min(1.0, v + more.get(p, 0.0)) for p, v in words.items()}
+        classes = {tuple(sorted((least[x], least[y]))): v for (x, y), v in sim.items() if x in least and y in least}
+        got = clusters.agglomerate(ids, classes, copy_of={m: least[of[m]] for m in ids}, more=more)
+        tidy = lambda found: [(c, round(mean, 12)) for c, mean in found]
+        assert tidy(got) == tidy(clusters.agglomerate(ids, every))
+        moved += got != clusters.agglomerate(ids, words)
+    assert moved > 10
+
+
+def test_avg_link_clusters_depend_on_joint_orders(spark, tmp_path):
+    from quarry import queries as core
+
+    parts = [(1, "red bolt steel"), (2, "red gear brass"), (3, "old pipe"), (4, "new wire"), (5, "dry cork"), (6, "dim lamp"), (7, "big door")]
+    spark.createDataFrame([(k, n, "B", "T", 1) for k, n in parts], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(o, k) for o in range(4) for k in (1, 2)] + [(9, 3), (9, 4)] + [(20, k) for k in (*range(100, 200), 3, 4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = core.QUERIES["avg_link_clusters"](spark, str(tmp_path)).collect()
+    assert sorted((r["cluster"], r["member"], round(r["cohesion"], 6)) for r in got) == [(1, 1, 0.55), (1, 2, 0.55)]  # one word of five, and every order
+
+
+def test_cochange_within_equals_cochange_of_pairs_inside_groups(spark):
+    rows = [(e, i) for e in range(30) for i in range(20) if (e * 7 + i * i) % 5 < 2] * 2 + [(50, i) for i in range(200)] + [(None, 1), (3, None)]
+    df = spark.createDataFrame(rows, "e int, i int")
+    groups = spark.createDataFrame([(i, i % 3) for i in range(200)] + [(None, 1), (1, None)], "i int, g int")
+    want = [(r["a"] % 3, r["a"], r["b"], r["pair_count"], r["affinity"]) for r in grouping.cochange(df, "e", "i").collect() if r["a"] % 3 == r["b"] % 3]
+    got = [tuple(r) for r in grouping.cochange_within(df, "e", "i", groups, "g").collect()]
+    assert want and sorted(got) == sorted(want)
+
+
 def test_similarities_are_made_once_for_members_with_the_same_words(spark):
     from itertools import combinations
 
