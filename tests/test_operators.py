@@ -1,6 +1,7 @@
 """Operators on small tables, odd ones included."""
 
 import statistics
+from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pytest
@@ -223,7 +224,7 @@ def _same_as_sql(spark, folder, name):
     want = duck.sql(core.ORACLES[name])
     got = core.QUERIES[name](spark, folder)
     order = [got.columns.index(c) for c in want.columns]
-    value = lambda v: "nan" if v is not None and v != v else round(v, 5) if isinstance(v, float) else v
+    value = lambda v: "nan" if v is not None and v != v else round(float(v), 5) if isinstance(v, float | Decimal) else v
     plain = lambda rows: sorted(str([value(v) for v in r]) for r in rows)
     assert plain(tuple(r[i] for i in order) for r in got.collect()) == plain(want.fetchall())
 
@@ -232,6 +233,33 @@ def test_vocab_jaccard_pairs_of_odd_parts_equal_the_sql(spark, odd_parts):
     _same_as_sql(spark, odd_parts, "vocab_jaccard_pairs")
 
 
+def test_stale_score_of_odd_parts_equals_the_sql(spark, odd_parts):
+    _same_as_sql(spark, odd_parts, "stale_score")
+
+
+def test_best_of_group_in_small_pieces_equals_all_pairs(monkeypatch):
+    import random
+
+    import numpy as np
+
+    pick = random.Random(2)
+    for cells in (1, 50, 10**6):
+        monkeypatch.setattr(matching, "CELLS", cells)
+        for sizes in ([900.0, 950.0], [1.0, 2.0, 2.9, 9.0]):
+            rows = [(pick.choice([i, i, pick.randrange(60)]), tuple(sorted(pick.sample(range(6), pick.randrange(4)))), pick.choice(sizes)) for i in range(60)]
+            best, rank = matching.best_of_group(np.array([r[0] for r in rows]), [np.array(r[1], np.int64) for r in rows], np.array([r[2] for r in rows]))
+            for (i, x, p), b, v in zip(rows, best, rank, strict=True):
+                share = lambda y, x=x: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
+                want = min([(-share(y), j) for j, y, q in rows if j != i and 0.35 <= p / q <= 2.85], default=(2.0, -1))
+                assert (-v, b) == want
+
+
+def test_best_within_makes_no_row_of_a_pair(spark):
+    df = spark.createDataFrame([(i % 3, i, ["a", str(i)], 900.0 + i) for i in range(30)], "g int, id int, w array<string>, s double")
+    plan = matching.best_within(df, ["g"], "id", "w", "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "array_intersect" not in plan
+
+
 def test_best_within_equals_all_pairs_whatever_the_sizes(spark):
     import random
 
